@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality_rules, simhash
+from . import bpe, exact_dedup, html_text, packing, quality_rules, simhash
 from .common import table
 
 
@@ -33,12 +33,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_simhash, op5_quality_rules, op7_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op3_simhash, op5_quality_rules, op7_bpe, op8_html, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
