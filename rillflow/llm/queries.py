@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, packing, quality_rules, simhash
+from . import bpe, exact_dedup, html_text, packing, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_simhash, op5_quality_rules, op7_bpe, op8_html, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op5_quality_rules, op7_bpe, op8_html, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
