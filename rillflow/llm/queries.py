@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, packing, quality_rules, simhash, toxicity
+from . import bpe, exact_dedup, html_text, packing, quality_model, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -46,7 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op5_quality_rules, op7_bpe, op8_html, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op5_quality_rules, op6_quality_model, op7_bpe, op8_html, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
