@@ -26,10 +26,10 @@ from .common import text_slices
 
 PASSAGE = 64
 HIDDEN, GATE = 32, 16
-#: Bound on the labelled documents of each class that the model is fitted on.
-SAMPLE = 3000
 EPOCHS, BATCH, RATE, SEED = 25, 64, 3e-3, 20
 THRESHOLD = 0.3
+#: Bytes of text that are encoded together.
+CHUNK = 1 << 20
 
 # Classes of bytes: letters, digits, white space, single marks, and the rest.
 _CLASS = np.full(256, 15, np.int64)
@@ -41,20 +41,55 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\v\f\r")] = True
 
 
+def parts(text: bytes) -> list[bytes]:
+    """A text and a closing space; more than CHUNK bytes are cut before words whose number is a multiple of PASSAGE."""
+    text += b" "
+    if len(text) <= CHUNK:
+        return [text]
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    cuts = np.flatnonzero(~space & np.r_[True, space[:-1]])[:: PASSAGE * 512][1:].tolist()
+    return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+
+
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(passages x WIDTH, document of each passage) of whole texts."""
-    size = np.array([len(t) + 1 for t in texts])  # a space ends each text, so that none is empty
-    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    doc = np.repeat(np.arange(len(texts)), size)
+    """(passages x WIDTH, document of each passage) of whole texts, some CHUNK bytes at a time."""
+    xs, bags, group, size = [], [], [], 0
+    todo = [(i, part) for i, t in enumerate(texts) for part in parts(t)]
+    for k, (i, part) in enumerate(todo):
+        group.append((i, part))
+        size += len(part)
+        if size > CHUNK or k == len(todo) - 1:
+            x, own = _pairs([p for _, p in group])
+            xs.append(x)
+            bags.append(np.array([i for i, _ in group])[own])
+            group, size = [], 0
+    x, bag = np.concatenate(xs), np.concatenate(bags)
+    row = 0
+    for text in texts:
+        words, seen = text.split(), set()
+        for k in range(0, len(words), PASSAGE):
+            part = words[k : k + PASSAGE]
+            own = set(part)
+            x[row, -3:] = 1 - len(own) / len(part), len(own & seen) / len(own), len(part) / PASSAGE
+            seen |= own
+            row += 1
+        row += not words
+    return x, bag
+
+
+def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies of neighbouring character classes of each passage, and its text."""
+    size = np.array([len(t) for t in texts])
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
     space = _SPACE[flat]
     starts = ~space & np.r_[True, space[:-1]]
-    word = np.cumsum(starts)
+    word = np.cumsum(starts, dtype=np.int32)
     first = np.cumsum(size) - size
     base = word[first] - starts[first]  # words before each text
     inside = np.maximum(word - base[doc] - 1, 0) // PASSAGE
     passages = inside[first + size - 1] + 1
     offset = np.cumsum(passages) - passages
-    bag = np.repeat(np.arange(len(texts)), passages)
     at = offset[doc] + inside
     cls = _CLASS[flat]
     pair = cls[:-1] * CLASSES + cls[1:]
@@ -63,17 +98,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(at[:-1][same] * (CLASSES * CLASSES) + pair[same], minlength=n * CLASSES * CLASSES).reshape(n, -1)
     x = np.zeros((n, WIDTH), np.float32)
     x[:, :-3] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-    for o, text in zip(offset, texts):
-        words, seen = text.split(), set()
-        for k in range(0, len(words), PASSAGE):
-            part = words[k : k + PASSAGE]
-            own = set(part)
-            row = x[o + k // PASSAGE]
-            row[-3] = 1 - len(own) / len(part)
-            row[-2] = len(own & seen) / len(own)
-            row[-1] = len(part) / PASSAGE
-            seen |= own
-    return x, bag
+    return x, np.repeat(np.arange(len(texts)), passages)
 
 
 def _sums(values: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
@@ -161,7 +186,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document doc_id, held_out, score and predicted."""
-    model = fit(*labelled.sample(docs, labels, "quality", SAMPLE))
+    model = labelled.fitted(docs, labels, "quality", fit)
 
     def run(batches):
         for whole in batches:

@@ -101,7 +101,14 @@ def trained(size: int, samples: list[bytes]) -> bytes:
 
 def surroundings(texts: list[list[bytes]]) -> Counter:
     """In how many different surroundings (the words before and after) each word stands."""
-    return Counter(b for a, b, c in {x for words in texts for x in zip([b"", *words], words, [*words[1:], b""])} if b)
+    index: dict[bytes, int] = {b"": 0}
+    ids = [np.array([0, *(index.setdefault(w, len(index)) for w in words), 0], np.uint64) for words in texts]
+    found = [np.empty(0, np.uint64)]
+    for x in ids:  # 24 bits of the word and 40 of a hash of its neighbours
+        around = x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        found.append(np.unique(x[1:-1] << np.uint64(40) | around >> np.uint64(24)))
+    counts = np.bincount((np.unique(np.concatenate(found)) >> np.uint64(40)).astype(np.int64), minlength=len(index))
+    return Counter({w: int(counts[i]) for w, i in index.items() if i and counts[i]})
 
 
 def contrast(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
@@ -163,7 +170,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document doc_id, held_out, score and predicted."""
-    model = fit(*labelled.sample(docs, labels, "toxic"))
+    model = labelled.fitted(docs, labels, "toxic", fit)
 
     def run(batches):
         for whole in batches:
