@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, packing, quality_model, quality_rules, simhash, toxicity
+from . import bpe, exact_dedup, hmm, html_text, packing, quality_model, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op5_quality_rules, op6_quality_model, op7_bpe, op8_html, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_hmm, op5_quality_rules, op6_quality_model, op7_bpe, op8_html, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
