@@ -36,7 +36,7 @@ UNSEEN, LETTERS = 0, 27
 FIRST_OWN = 1 + LETTERS * LETTERS
 BLOCK_BYTES = 16 << 20
 #: Tokens of the sequences that one recursion advances together.
-TOKENS = 400_000
+TOKENS = 150_000
 
 _LETTER = np.full(256, 26, np.int16)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(26)
