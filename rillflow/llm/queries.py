@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm, html_text, packing, quality_model, quality_rules, simhash, toxicity
+from . import bpe, exact_dedup, hmm, html_text, packing, pii, quality_model, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -53,8 +53,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_hmm, op5_quality_rules, op6_quality_model, op7_bpe, op8_html, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_simhash, op4_hmm, op5_quality_rules, op6_quality_model, op7_bpe, op8_html, op9_exact_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
