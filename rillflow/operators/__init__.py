@@ -1 +1 @@
-
+"""Grid and drainage operators."""

@@ -1 +1 @@
-
+"""Iterative plans over functional graphs, and grids derived from tables."""
