@@ -46,14 +46,16 @@ def _distance(meta: GridMeta, row: int, dr: int, dc: int) -> float:
 def step_distance(meta: GridMeta, code: Column, row: Column | None = None) -> Column:
     """Metres (units on a plane) from a cell to its neighbour in direction ``code``; NULL for other codes."""
     row = F.col("row") if row is None else row
+    if meta.geographic:
+        # One distance, with steps that depend on the code.
+        dr = dc = F.lit(None).cast("double")
+        for c, r, k in STEPS:
+            dr, dc = F.when(code == c, float(r)).otherwise(dr), F.when(code == c, float(k)).otherwise(dc)
+        y = meta.y(row)
+        return spherical_distance(y, F.lit(0.0), y + dr * F.lit(meta.e), dc * F.lit(meta.a))
     out = F.lit(None).cast("double")
     for c, dr, dc in STEPS:
-        if meta.geographic:
-            y = meta.y(row)
-            d = spherical_distance(y, F.lit(0.0), y + F.lit(dr * meta.e), F.lit(dc * meta.a))
-        else:
-            d = F.lit(math.hypot(dr * meta.e, dc * meta.a))
-        out = F.when(code == c, d).otherwise(out)
+        out = F.when(code == c, F.lit(math.hypot(dr * meta.e, dc * meta.a))).otherwise(out)
     return out
 
 

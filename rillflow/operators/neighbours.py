@@ -27,13 +27,16 @@ def around(grid: Grid) -> DataFrame:
     return both.select("row", "col", x, *[F.col(where[c]).alias(f"v{c}") for c in CODES])
 
 
-def steepest(gradients: dict[int, Column]) -> Column:
-    """The code with the largest positive gradient, the first in compass order of equals; 0 if none."""
-    best = F.greatest(*gradients.values())
+def steepest(df: DataFrame, gradients: dict[int, Column], valid: Column) -> DataFrame:
+    """row, col, dir: the code with the largest positive gradient, the first in compass order of equals; 0 if none.
+
+    Gradients and their largest are columns of their own, so that each is computed once.
+    """
+    named = df.withColumns({f"s{code}": g for code, g in gradients.items()}).withColumn("best", F.greatest(*[F.col(f"s{c}") for c in gradients]))
     out = F.lit(0)
     for code in reversed(gradients):
-        out = F.when(gradients[code] == best, code).otherwise(out)
-    return F.when(best > 0, out).otherwise(0)
+        out = F.when(F.col(f"s{code}") == F.col("best"), code).otherwise(out)
+    return named.select("row", "col", F.when(valid, F.when(F.col("best") > 0, out).otherwise(0)).alias("dir"))
 
 
 def distances(meta: GridMeta, spherical: bool) -> dict[int, Column]:
@@ -52,10 +55,10 @@ def distances(meta: GridMeta, spherical: bool) -> dict[int, Column]:
 def d8(dem: Grid, spherical: bool = True) -> Grid:
     """Direction of steepest descent; 0 in pits and flats, no data without elevation."""
     check_type(dem, GridType.DEM)
-    far, z = distances(dem.meta, spherical), F.col("z").cast("double")
-    down = {code: (z - F.col(f"v{code}").cast("double")) / far[code] for code in CODES}
-    df = around(dem).select("row", "col", F.when(F.col("z").isNotNull(), steepest(down)).alias("dir"))
-    return dem.with_df(df, GridType.FlowDir)
+    z = F.col("z").cast("double")
+    df = around(dem).withColumns({f"far{code}": d for code, d in distances(dem.meta, spherical).items()})
+    down = {code: (z - F.col(f"v{code}").cast("double")) / F.col(f"far{code}") for code in CODES}
+    return dem.with_df(steepest(df, down, F.col("z").isNotNull()), GridType.FlowDir)
 
 
 def steps(code: str = "dir") -> tuple[Column, Column]:

@@ -31,7 +31,7 @@ def NSA(flowacc: Grid, k: int) -> Grid:
     top = flowacc.df.groupBy(block("row", k).alias("row"), block("col", k).alias("col")).agg(F.max("acc").cast("double").alias("acc"))
     coarse = Grid(top, GridType.FlowAcc, meta)
     rise = {c: (F.col(f"v{c}") - F.col("acc")) / F.lit(math.hypot(dr, dc)) for c, dr, dc in STEPS}
-    return Grid(around(coarse).select("row", "col", F.when(F.col("acc").isNotNull(), steepest(rise)).alias("dir")), GridType.FlowDir, meta)
+    return Grid(steepest(around(coarse), rise, F.col("acc").isNotNull()), GridType.FlowDir, meta)
 
 
 def central(df: DataFrame, k: int, shift: int) -> DataFrame:
