@@ -15,12 +15,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def without_statistics(df: DataFrame) -> DataFrame:
+    """The same rows in a plan without size estimates.
+
+    A checkpoint keeps the estimate of its plan, and that of a join is the product of
+    its sides; over many rounds those numbers grow to millions of digits.
+    """
+    spark = df.sparkSession
+    try:
+        plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    except Exception:  # no such method in this Spark: only planning is slower then
+        return df
+    return DataFrame(plain, spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the checkpoint folder that the cluster names in ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
+    """``df`` from the checkpoint folder that the cluster names in ``spark.checkpoint.dir``, or one of our own where that is unset.
+
+    At most the session's number of shuffle partitions are written: unions that are read
+    again and again would otherwise multiply theirs from round to round.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
-    return df.checkpoint(eager=True)
+    return without_statistics(df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint(eager=True))
 
 
 def _squared(links: DataFrame) -> DataFrame:
