@@ -19,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without_statistics(df: DataFrame) -> DataFrame:
+    """The same rows in a plan without size estimates.
+
+    A checkpoint keeps the estimate of its plan, and that of a join is the product of
+    its sides; over many rounds those numbers grow to millions of digits.
+    """
+    spark = df.sparkSession
+    try:
+        plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    except Exception:  # no such method in this Spark: only planning is slower then
+        return df
+    return DataFrame(plain, spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
@@ -28,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
-    return df.checkpoint(eager=True)
+    return without_statistics(df.checkpoint(eager=True))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
