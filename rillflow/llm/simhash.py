@@ -38,7 +38,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Generator polynomial of the [23, 12] Golay code (a fixed value).
 GENERATOR = 0xC75
 #: Bucket rows compared at a time, and links kept before a task contracts them.
-BLOCK, PENDING = 2048, 1 << 20
+BLOCK, PENDING = 512, 1 << 18
 
 _WEIGHT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -65,7 +65,8 @@ _PLACES = np.arange(8, dtype=np.int64) * 256
 
 @F.arrow_udf(T.LongType())
 def fingerprints(text: pa.Array) -> pa.Array:
-    values = np.array([fingerprint(x or b"") for x in text.cast(pa.binary()).to_pylist()], np.uint64)
+    parts = (text.slice(i, 200).cast(pa.binary()).to_pylist() for i in range(0, len(text), 200))
+    values = np.array([fingerprint(x or b"") for part in parts for x in part], np.uint64)
     return pa.array(values.view(np.int64))
 
 
@@ -123,33 +124,49 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def matches(prints: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within buckets; rows are sorted by key. Large buckets go block by block."""
+class Found:
+    """Links found so far; contracted to a forest whenever they double beyond PENDING."""
+
+    def __init__(self):
+        self.a, self.b, self.size, self.kept = [], [], 0, 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.a.append(a)
+            self.b.append(b)
+            self.size += len(a)
+            if self.size > max(PENDING, 2 * self.kept):
+                self.contract()
+
+    def contract(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.a:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
+        self.a, self.b, self.size, self.kept = [a], [b], len(a), len(a)
+        return a, b
+
+
+def match(prints: np.ndarray, key: np.ndarray, found: Found) -> None:
+    """Add the verified links within buckets; rows are sorted by key. Large buckets go block by block."""
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(edge)
-    left, right = [], []
     for s in np.unique(size[size > 1]):
         at = edge[:-1][size == s]
-        if s <= 64:  # all buckets of this size together, by distance within the bucket
-            rows = at[:, None] + np.arange(s)
-            for d in range(1, s):
-                i, j = rows[:, :-d].ravel(), rows[:, d:].ravel()
-                ok = np.bitwise_count(prints[i] ^ prints[j]) <= LINK
-                left.append(prints[i[ok]])
-                right.append(prints[j[ok]])
-        else:
-            for o in at:
-                own = prints[o : o + s]
-                for x in range(0, s, BLOCK):
-                    for y in range(x, s, BLOCK):
-                        i, j = np.nonzero(np.bitwise_count(own[x : x + BLOCK, None] ^ own[None, y : y + BLOCK]) <= LINK)
-                        i, j = own[x + i], own[y + j]
-                        ok = i < j if x == y else i != j
-                        f = forest(i[ok], j[ok]) if ok.any() else (i[:0], j[:0])
-                        left.append(f[0])
-                        right.append(f[1])
-    none = np.empty(0, np.uint64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        if s <= 64:  # buckets of this size together, by distance within the bucket
+            for part in np.array_split(at, len(at) * s // 100_000 + 1):
+                rows = part[:, None] + np.arange(s)
+                for d in range(1, s):
+                    i, j = rows[:, :-d].ravel(), rows[:, d:].ravel()
+                    ok = np.bitwise_count(prints[i] ^ prints[j]) <= LINK
+                    found.add(prints[i[ok]], prints[j[ok]])
+            continue
+        for o in at:
+            own = prints[o : o + s]
+            for x in range(0, s, BLOCK):
+                for y in range(x, s, BLOCK):
+                    i, j = np.nonzero(np.bitwise_count(own[x : x + BLOCK, None] ^ own[None, y : y + BLOCK]) <= LINK)
+                    ok = x + i < y + j
+                    found.add(own[x + i[ok]], own[y + j[ok]])
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -163,21 +180,16 @@ def links(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row])], ["key", "fp"])
 
     def meet(batches):
-        rest_key, rest = np.empty(0, np.int32), np.empty(0, np.uint64)
-        a, b = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        rest_key, rest, found = np.empty(0, np.int32), np.empty(0, np.uint64), Found()
         for batch in batches:
             key = np.concatenate([rest_key, batch.column(0).to_numpy()])
             fp = np.concatenate([rest, batch.column(1).to_numpy().view(np.uint64)])
             whole = np.searchsorted(key, key[-1]) if len(key) else 0  # the last bucket may go on
             rest_key, rest = key[whole:], fp[whole:]
-            found = matches(fp[:whole], key[:whole])
-            a, b = np.concatenate([a, found[0]]), np.concatenate([b, found[1]])
-            if len(a) > PENDING:
-                a, b = forest(a, b)
-        found = matches(rest, rest_key)
-        a, b = np.concatenate([a, found[0]]), np.concatenate([b, found[1]])
+            match(fp[:whole], key[:whole], found)
+        match(rest, rest_key, found)
+        a, b = found.contract()
         if len(a):
-            a, b = forest(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     keyed = prints.select("fp").mapInArrow(emit, "key int, fp long")

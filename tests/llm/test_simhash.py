@@ -87,8 +87,10 @@ def test_large_bucket_goes_block_by_block(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     base = np.uint64(0x0123456789ABCDEF)
     prints = np.unique(np.array([base ^ np.uint64(1 << i) ^ np.uint64(1 << j) for i in range(12) for j in range(12)], np.uint64))
-    a, b = simhash.matches(prints, np.zeros(len(prints), np.int32))
-    _, roots = simhash.forest(a, b)
+    monkeypatch.setattr(simhash, "PENDING", 50)
+    found = simhash.Found()
+    simhash.match(prints, np.zeros(len(prints), np.int32), found)
+    _, roots = found.contract()
     assert len(set(roots.tolist())) == 1
 
 
