@@ -78,7 +78,8 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS]))
 def measures(text: pa.Array) -> pa.Array:
-    rows = [measure(x or b"") for x in text.cast(pa.binary()).to_pylist()]
+    parts = (text.slice(i, 200).cast(pa.binary()).to_pylist() for i in range(0, len(text), 200))
+    rows = [measure(x or b"") for part in parts for x in part]
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * len(COUNTS))], COUNTS)
 
 
