@@ -5,8 +5,9 @@ context (its block element, or the boilerplate around it) that are article text
 labelled pages; a tag scores minus ``TAG_COST`` times the share of tags of its name
 that stand outside. The labelled pages are those that mark their article themselves
 (``article`` or ``main``); the counts are gathered from all of them. One linear scan
-finds the contiguous region with the highest sum, and the blocks of that region that
-do not lie in menus, forms, adverts, comments and the like are the text.
+finds the contiguous region with the highest sum. It is widened to the element that
+holds it (an advert may part a short last paragraph from the rest), and the blocks in
+it that do not lie in menus, forms, adverts, comments and the like are the text.
 
 Defined cases: null and empty pages give an empty text; a page without any word that
 scores gives an empty text; unclosed elements end with their parents; an unclosed
@@ -16,6 +17,7 @@ script or style runs to the end of the page.
 from __future__ import annotations
 
 import html
+import os.path
 import re
 from collections import Counter
 
@@ -37,6 +39,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Words of class, id and role that mark boilerplate.
 CUES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "toolbar", "topbar", "widget"}
 
+#: Elements to which a region is widened.
+CONTAINERS = {"article", "main", "section", "div", "td", "center"}
 NAMES = BLOCKS | BOILERPLATE | INLINE
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -54,10 +58,10 @@ LETTERS = re.compile(r"[a-z]+")
 class Item:
     """A tag (``words`` is None) or a run of text, in page order."""
 
-    __slots__ = ("block", "dropped", "feature", "inside", "words")
+    __slots__ = ("block", "dropped", "feature", "inside", "path", "words")
 
-    def __init__(self, feature, words=None, block=0, dropped=False, inside=False):
-        self.feature, self.words, self.block, self.dropped, self.inside = feature, words, block, dropped, inside
+    def __init__(self, feature, words=None, block=0, dropped=False, inside=False, path=()):
+        self.feature, self.words, self.block, self.dropped, self.inside, self.path = feature, words, block, dropped, inside, path
 
 
 def marked(attributes: str) -> bool:
@@ -67,7 +71,7 @@ def marked(attributes: str) -> bool:
 
 def items(page: str) -> list[Item]:
     out: list[Item] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, whether boilerplate starts there
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether boilerplate starts there, number
     block, at = 0, 0
 
     def text(s: str) -> None:
@@ -76,23 +80,23 @@ def items(page: str) -> list[Item]:
             if out and words and out[-1].words is not None and out[-1].block == block:
                 out[-1].words += " "
             elif words:
-                out.append(Item("t:space", words=" ", block=block))
+                out.append(Item("t:space", " ", block))
             return
-        names = [n for n, _ in stack]
-        noise = next((n for n, x in stack if x), None)
+        names = [n for n, _, _ in stack]
+        noise = next((n for n, x, _ in stack if x), None)
         near = next((n for n in reversed(names) if n in BLOCKS), "body")
         context = f"noise:{noise if noise in BOILERPLATE else 'cue'}" if noise else near + ("+a" if "a" in names else "")
-        out.append(Item(f"w:{context}", words, block, noise is not None, not noise and ("article" in names or "main" in names)))
+        out.append(Item(f"w:{context}", words, block, noise is not None, not noise and ("article" in names or "main" in names), tuple(k for n, _, k in stack if n in CONTAINERS)))
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             if m[1]:
-                out.append(Item("t:raw", inside=any(n in ("article", "main") for n, _ in stack)))
+                out.append(Item("t:raw", inside=any(n in ("article", "main") for n, _, _ in stack)))
             continue
         name = m[3].lower()
-        inside = any(n in ("article", "main") for n, _ in stack)
+        inside = any(n in ("article", "main") for n, _, _ in stack)
         if name in BLOCKS or name in BOILERPLATE or name == "br":
             block += 1
             if name != "br":  # inline elements left open end with their block
@@ -107,8 +111,8 @@ def items(page: str) -> list[Item]:
             if name in BLOCKS and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
             noise = name in BOILERPLATE and not (name == "header" and inside) or name not in ("html", "body", "article", "main") and marked(m[4])
-            stack.append((name, noise))
-        out.append(Item(f"t:{name if name in NAMES else 'other'}", inside=inside and any(n in ("article", "main") for n, _ in stack)))
+            stack.append((name, noise, m.start()))
+        out.append(Item(f"t:{name if name in NAMES else 'other'}", inside=inside and any(n in ("article", "main") for n, _, _ in stack)))
     text(BROKEN.sub("", page[at:]))
     return out
 
@@ -158,11 +162,15 @@ def main_text(page: str, by: dict[str, float]) -> str:
     start, end = region([score(x, by) for x in own])
     if start == end:
         return ""
-    edges = [x.block for x in own[start:end] if x.words is not None and not x.dropped]
+    texts = [x for x in own[start:end] if x.words is not None and not x.dropped and x.words.strip()]
+    if not texts:
+        return ""
+    first, last = texts[0].block, texts[-1].block
+    holder = os.path.commonprefix([x.path for x in texts])
     blocks: dict[int, list[str]] = {}
     for x in own:
         # A block that the region cuts is taken whole.
-        if x.words is not None and not x.dropped and edges and edges[0] <= x.block <= edges[-1]:
+        if x.words is not None and not x.dropped and (first <= x.block <= last or holder and x.path[: len(holder)] == holder):
             blocks.setdefault(x.block, []).append(x.words)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
