@@ -22,6 +22,8 @@ from .common import SPACES, cut, fresh
 
 #: Share of the rows from which a digest counts as heavy: at most 1,024 are broadcast.
 SUPPORT = 1 / 1024
+#: Partial summaries that one task merges at most.
+SUMMARIES = 1024
 
 
 def digest(text: Column) -> Column:
@@ -32,7 +34,7 @@ def digest(text: Column) -> Column:
 
 def heavy_hitters(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(digest, keep_id, group_size) of the digests verified to hold ``support`` of the rows."""
-    found = digests.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    found = digests.coalesce(SUMMARIES).stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
     counted = digests.join(F.broadcast(found), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     least = digests.agg((F.count(F.lit(1)) * F.lit(support)).alias("least"))
     return cut(counted.join(F.broadcast(least), F.col("group_size") >= F.greatest(F.col("least"), F.lit(2.0))).drop("least"))
