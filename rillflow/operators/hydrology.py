@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import cell_area
 from ..model import CODES, Grid, GridMeta, GridType, cell, check_aligned, check_crs, check_same, check_type, uncell
-from ..plans import closure
+from ..plans import closure, tiled
 from .neighbours import pointers, receivers
 from .network import chains
 
 
-def flow_accumulation(fd: Grid, area: bool = True) -> Grid:
+def flow_accumulation(fd: Grid, area: bool = True, tile: int = tiled.TILE) -> Grid:
     """Upstream area (DOUBLE) or number of cells (BIGINT) of every cell with data, itself included."""
     edges = receivers(fd).withColumn("w", cell_area(fd.meta) if area else F.lit(1).cast("long"))
-    acc = closure.accumulate(edges.select("cell", "p", "w"))
-    return fd.with_df(acc.select(*uncell(fd.meta, "cell"), F.col("a").alias("acc")), GridType.FlowAcc)
+    return fd.with_df(tiled.accumulate(edges, fd.meta, "double" if area else "long", tile), GridType.FlowAcc)
 
 
 def delineate_watershed(fd: Grid, pour_row: int, pour_col: int) -> Grid:

@@ -73,11 +73,11 @@ def without_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return edges.join(marked, "cell", "left").select(*others, F.when(F.col("_cycle").isNull(), F.col("p")).alias("p")), cycles
 
 
-def accumulate(edges: DataFrame, weight: str = "w") -> DataFrame:
+def accumulate(edges: DataFrame, weight: str = "w", cycles: bool = True) -> DataFrame | None:
     """(cell, a): the weight of each cell and of all cells that drain to it.
 
     On a cycle nothing flows around; its cells keep their own weight and what reaches
-    them from outside the cycle.
+    them from outside the cycle. Without ``cycles`` the result is None if there are any.
     """
     edges = cut(edges.select("cell", "p", weight))
     rounds = _limit(edges)
@@ -90,6 +90,8 @@ def accumulate(edges: DataFrame, weight: str = "w") -> DataFrame:
             links = cut(_squared(links))
             if links.isEmpty():
                 return acc
+        if not cycles:
+            return None
         if attempt == "as given":
             edges = cut(without_cycles(edges)[0])
     raise AssertionError("cycles are cut")

@@ -40,6 +40,13 @@ def test_accumulation_with_cycles(spark, seed):
     assert hydrology.flow_accumulation(grid(spark, fd, GridType.FlowDir), area=False).rows() == models.accumulate(fd)[0]
 
 
+@pytest.mark.parametrize("tile", [3, 5, 64])
+@pytest.mark.parametrize("rows", ["river", "rings"])
+def test_accumulation_in_tiles(spark, river, rows, tile):
+    fd = river[0] if rows == "river" else directions(9, 12, 11, sinks=0.15)
+    assert hydrology.flow_accumulation(grid(spark, fd, GridType.FlowDir), area=False, tile=tile).rows() == models.accumulate(fd)[0]
+
+
 def test_accumulated_area(spark):
     z = dem(3, 10, 10)
     g = from_rows(spark, z, GridType.DEM, a=0.1, e=-0.1, f=48.0)
