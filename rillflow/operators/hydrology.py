@@ -40,8 +40,8 @@ def strahler_order(fd: Grid) -> Grid:
 
     Chains of cells with one inflow take the order of their first cell, found by
     doubling upstream. On the rest orders rise level by level: the cells of order k + 1
-    or more are those downstream of a meeting of two inflows of order k or more. Each
-    level at least halves the graph and is one closure by doubling.
+    or more are those downstream of a meeting of two inflows of order k or more. Jump
+    tables are made once; each level at least halves the cells and is one job over them.
     """
     flowing = fd.with_df(fd.df.where(F.col("dir").isin(*CODES)))
     edges = closure.cut(receivers(flowing).select("cell", "p"))
@@ -57,16 +57,21 @@ def strahler_order(fd: Grid) -> Grid:
     junction = inflow.where("n > 1").select("p")
     links = edges.join(junction, "p", "left_semi").join(head, "cell").select(F.col("head").alias("cell"), "p")
     nodes = closure.cut(head.select(F.col("head").alias("cell")).distinct().join(links, "cell", "left").select("cell", "p"))
+    jumps = [closure.cut(nodes.where("p IS NOT NULL").select("cell", "p"))]
+    while not (further := closure.cut(closure._squared(jumps[-1]))).isEmpty():
+        jumps.append(further)
     level, orders = 1, nodes.select("cell", F.lit(1).alias("ord"))
+    alive = nodes
     while True:
-        meeting = nodes.where("p IS NOT NULL").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("p").alias("cell"), F.lit(1).cast("long").alias("w"))
-        if meeting.isEmpty():
+        above = alive.where("p IS NOT NULL").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("p").alias("cell"))
+        for jump in jumps:  # all cells downstream, by jumps of 1, 2, 4 ... steps
+            above = above.join(jump, "cell", "left").select(F.explode(F.array("cell", "p")).alias("cell")).where("cell IS NOT NULL").distinct()
+        above = closure.cut(above)
+        if above.isEmpty():
             break
-        marked = nodes.join(meeting, "cell", "left").select("cell", "p", F.coalesce("w", F.lit(0)).cast("long").alias("w"))
-        above = closure.accumulate(marked).where("a > 0").select("cell")
-        nodes = closure.cut(nodes.join(above, "cell", "left_semi"))
         level += 1
-        orders = orders.unionByName(nodes.select("cell", F.lit(level).alias("ord")))
+        orders = orders.unionByName(above.select("cell", F.lit(level).alias("ord")))
+        alive = nodes.join(above, "cell", "left_semi")
     top = orders.groupBy("cell").agg(F.max("ord").alias("ord")).withColumnRenamed("cell", "head")
     ranked = head.join(top, "head").select("cell", "ord")
     every = fd.df.select("row", "col", cell(fd.meta).alias("cell")).join(ranked, "cell", "left")
