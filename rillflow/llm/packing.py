@@ -42,7 +42,14 @@ def encoder(path: str):
     bpe: Bpe = load(path)
     ranks = {bpe.bytes[s : s + n].tobytes(): i for i, (s, n) in enumerate(zip(bpe.start, bpe.length)) if n and i not in bpe.special.values()}
     fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=bpe.special)
-    return lambda text: fast.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its regex stack is bounded: white space of about a million characters in one run
+            return bpe.encode_batch([text])[0]
+
+    return encode
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -101,6 +101,12 @@ def test_packing_places_every_token_once(odd_docs, odd_texts):
     assert sum(sum(n for _, n in p) * 2 <= 64 for p in by.values()) <= 1
 
 
+def test_packing_takes_very_long_white_space():
+    tok, encode = library(), packing.encoder(vocabulary())
+    for text in (" " * 1_100_000 + "x", "hello\n" + " " * 1_100_000 + "x", "a<|endoftext|>" + "\n \t" * 400_000, "the end" + "\u3000" * 1_100_000):
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_cut_only_long_documents(odd_docs):
     import zlib
 
