@@ -1,13 +1,13 @@
 """A hidden Markov language model over words.
 
-Every word belongs to one class: the frequent words have one each, the others share
-the class of their last two letters, and all unseen words are one more type. A word's
+Every word belongs to one class: words of at least ``LEAST`` training tokens have one
+each, whatever their number; the others share the class of their last two letters, and all unseen words are one more type. A word's
 probability in a state is the state's emission of its class times the word's share of
 its class in the smoothed unigram, so that every state is a proper distribution.
 Baum-Welch: each task runs the scaled forward and backward recursions over its
 sequences and adds up expected starts, transitions and emissions; Spark sums these
-tables, which have a row for each class, and the next round starts from them. The
-scaled forward recursion then gives the exact likelihood of each text.
+tables, which have a row for each class and so grow with the vocabulary, and the next
+round starts from them. The scaled forward recursion then gives the exact likelihood of each text.
 
 Counts come from all training documents. The texts are read once, into blocks of
 sequences of block-local word numbers; the vocabulary, which grows with the corpus, is
@@ -30,8 +30,8 @@ from .common import crc_bucket, discard, text_slices, written
 
 FOLDS, ADD = 10, 0.1
 STATES, ROUNDS, SEED = 6, 4, 4
-#: Words of at least 1/RARE of all tokens, the most frequent OWN of them, are classes of their own.
-OWN, RARE = 2048, 100_000
+#: Words of at least so many training tokens are classes of their own.
+LEAST = 10
 UNSEEN, LETTERS = 0, 27
 FIRST_OWN = 1 + LETTERS * LETTERS
 BLOCK_BYTES = 16 << 20
@@ -79,11 +79,11 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, kind int, doc_id long, held_out boolean, ids binary, word binary, n long, number int, suffix short")
 
 
-def counted(vocabulary: DataFrame, total: int) -> DataFrame:
+def counted(vocabulary: DataFrame) -> DataFrame:
     """(block, number, c, suffix, first, word): the words' training counts over the corpus; ``word`` only of frequent ones."""
     group = W.partitionBy("word")
     rows = vocabulary.select("block", "number", "suffix", "word", F.sum("n").over(group).alias("c"), (F.max("block").over(group) == F.col("block")).alias("first"))
-    return rows.withColumn("word", F.when(F.col("c") * RARE >= total, F.col("word")))
+    return rows.withColumn("word", F.when(F.col("c") >= LEAST, F.col("word")))
 
 
 class Unigram:
@@ -106,7 +106,7 @@ def sequences(docs: DataFrame, words: DataFrame, unigram: Unigram) -> DataFrame:
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         number = right.column("number").to_numpy()
-        c, cls = np.zeros(len(number)), np.zeros(len(number), np.uint16)
+        c, cls = np.zeros(len(number)), np.zeros(len(number), np.uint32)
         c[number] = right.column("c").to_numpy()
         cls[number] = right.column("cls").to_numpy()
         p = unigram.word(c)
@@ -132,6 +132,7 @@ def sequences(docs: DataFrame, words: DataFrame, unigram: Unigram) -> DataFrame:
 class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit  # K; K x K; K x classes
+        self.by_class = np.ascontiguousarray(emit.T)
 
     @classmethod
     def initial(cls, unigram: Unigram, states: int = STATES, seed: int = SEED) -> Hmm:
@@ -163,7 +164,7 @@ class Hmm:
         cls = np.empty(offset[-1], np.int64)
         for j, s in enumerate(seqs):
             cls[offset[: len(s)] + j] = s
-        b = self.emit.T[cls]
+        b = self.by_class[cls]
         alpha, scale = np.empty_like(b), np.empty(len(b))
         for t, n in enumerate(active):
             o = offset[t]
@@ -218,7 +219,7 @@ class Hmm:
 
 
 def decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in batch.column("classes").to_pylist()]
+    return [np.frombuffer(x, np.uint32) for x in batch.column("classes").to_pylist()]
 
 
 def train(rows: DataFrame, unigram: Unigram, rounds: int = ROUNDS) -> Hmm:
@@ -238,8 +239,9 @@ def train(rows: DataFrame, unigram: Unigram, rounds: int = ROUNDS) -> Hmm:
 
         stats = rows.where(~F.col("held_out")).select("classes").mapInArrow(count, "row int, " + ", ".join(f"s{j} double" for j in range(k)))
         table = np.zeros((1 + k + len(unigram.mass), k))
-        for r in stats.groupBy("row").agg(*[F.sum(f"s{j}") for j in range(k)]).collect():  # a row for each class and state
-            table[r[0]] = r[1:]
+        sums = stats.groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each class and state
+        for j in range(k):
+            table[sums.column("row").to_numpy(), j] = sums.column(f"s{j}").to_numpy()
         model = Hmm.from_counts(table[0], table[1 : 1 + k], table[1 + k :], unigram)
     return model
 
@@ -250,12 +252,13 @@ def score(docs: DataFrame) -> DataFrame:
     both, raw = written(blocks(docs))
     vocabulary = both.where("kind = 1")
     tokens = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words, looked = written(counted(vocabulary, tokens))
-    own = words.where("first AND c > 0 AND word IS NOT NULL").orderBy(F.col("c").desc(), "word").limit(OWN).select("word").collect()
-    named = spark.createDataFrame([(bytes(r.word), FIRST_OWN + i) for i, r in enumerate(own)], "word binary, own int")
+    words, looked = written(counted(vocabulary))
+    own = words.where("first AND word IS NOT NULL").select("word").toArrow().sort_by("word")
+    named = spark.createDataFrame(own.append_column("own", pa.array(np.arange(len(own)) + FIRST_OWN, pa.int32())), "word binary, own int")
     words = words.join(F.broadcast(named), "word", "left").withColumn("cls", F.when(F.col("c") == 0, UNSEEN).otherwise(F.coalesce("own", F.col("suffix").cast("int"))))
-    sums = words.where("first AND c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
-    unigram = Unigram(tokens, sum(r.n for r in sums), {r.cls: (r.c, r.n) for r in sums}, FIRST_OWN + len(own))
+    sums = words.where("first AND c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+    cls, c, n = (sums.column(x).to_pylist() for x in ("cls", "c", "n"))
+    unigram = Unigram(tokens, sum(n), dict(zip(cls, zip(c, n))), FIRST_OWN + len(own))
     rows, _ = written(sequences(both.where("kind = 0").select("block", "doc_id", "held_out", "ids"), words.select("block", "number", "c", "cls"), unigram))
     discard(spark, raw)
     discard(spark, looked)
