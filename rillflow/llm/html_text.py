@@ -7,7 +7,9 @@ that stand outside. The labelled pages are those that mark their article themsel
 (``article`` or ``main``); the counts are gathered from all of them. One linear scan
 finds the contiguous region with the highest sum. It is widened to the element that
 holds it (an advert may part a short last paragraph from the rest), and the blocks in
-it that do not lie in menus, forms, adverts, comments and the like are the text.
+it that do not lie in menus, forms, adverts, comments and the like are the text. Class,
+id and role do not make boilerplate of an element around the page's largest article, or
+of one that holds most of its words (of the page's, if it marks none).
 
 Defined cases: null and empty pages give an empty text; a page without any word that
 scores gives an empty text; unclosed elements end with their parents; an unclosed
@@ -39,6 +41,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Words of class, id and role that mark boilerplate.
 CUES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "toolbar", "topbar", "widget"}
 
+#: Elements that hold the article of a page; their own cues do not count.
+ARTICLE = {"article", "main"}
 #: Elements to which a region is widened.
 CONTAINERS = {"article", "main", "section", "div", "td", "center"}
 NAMES = BLOCKS | BOILERPLATE | INLINE
@@ -71,7 +75,8 @@ def marked(attributes: str) -> bool:
 
 def items(page: str) -> list[Item]:
     out: list[Item] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether boilerplate starts there, number
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, whether its name or a cue makes it boilerplate, number
+    texts: list[tuple[Item, list]] = []  # runs of text and the elements open there
     block, at = 0, 0
 
     def text(s: str) -> None:
@@ -82,21 +87,18 @@ def items(page: str) -> list[Item]:
             elif words:
                 out.append(Item("t:space", " ", block))
             return
-        names = [n for n, _, _ in stack]
-        noise = next((n for n, x, _ in stack if x), None)
-        near = next((n for n in reversed(names) if n in BLOCKS), "body")
-        context = f"noise:{noise if noise in BOILERPLATE else 'cue'}" if noise else near + ("+a" if "a" in names else "")
-        out.append(Item(f"w:{context}", words, block, noise is not None, not noise and ("article" in names or "main" in names), tuple(k for n, _, k in stack if n in CONTAINERS)))
+        out.append(Item("", words, block))
+        texts.append((out[-1], list(stack)))
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             if m[1]:
-                out.append(Item("t:raw", inside=any(n in ("article", "main") for n, _, _ in stack)))
+                out.append(Item("t:raw", inside=any(n in ("article", "main") for n, *_ in stack)))
             continue
         name = m[3].lower()
-        inside = any(n in ("article", "main") for n, _, _ in stack)
+        inside = any(n in ("article", "main") for n, *_ in stack)
         if name in BLOCKS or name in BOILERPLATE or name == "br":
             block += 1
             if name != "br":  # inline elements left open end with their block
@@ -110,13 +112,37 @@ def items(page: str) -> list[Item]:
         elif name not in VOID and not m[4].endswith("/"):
             if name in BLOCKS and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            noise = name in BOILERPLATE and not (name == "header" and inside) or name not in ("html", "body", "article", "main") and marked(m[4])
-            stack.append((name, noise, m.start()))
-        out.append(Item(f"t:{name if name in NAMES else 'other'}", inside=inside and any(n in ("article", "main") for n, _, _ in stack)))
+            stack.append((name, name in BOILERPLATE and not (name == "header" and inside), name not in ("html", "body") and marked(m[4]), m.start()))
+        out.append(Item(f"t:{name if name in NAMES else 'other'}", inside=inside and any(n in ("article", "main") for n, *_ in stack)))
     text(BROKEN.sub("", page[at:]))
+    wide = wrappers([(len(x.words.split()), elements) for x, elements in texts]) if any(e[2] for _, elements in texts for e in elements) else set()
+    for x, elements in texts:
+        names = [n for n, *_ in elements]
+        noise = next((n for n, own, cue, k in elements if own or cue and n not in ARTICLE and k not in wide), None)
+        near = next((n for n in reversed(names) if n in BLOCKS), "body")
+        context = f"noise:{noise if noise in BOILERPLATE else 'cue'}" if noise else near + ("+a" if "a" in names else "")
+        x.feature, x.dropped = f"w:{context}", noise is not None
+        x.inside = not noise and ("article" in names or "main" in names)
+        x.path = tuple(k for n, _, _, k in elements if n in CONTAINERS)
     return out
 
 
+def wrappers(texts: list[tuple[int, list]]) -> set[int]:
+    """Elements to which no cue applies: those around the largest article or main element that has no cue itself, and those with most of the words of it (of the page, if there is none)."""
+    size: Counter = Counter()
+    around: dict[int, list[int]] = {}
+    for n, elements in texts:
+        if any(own for _, own, _, _ in elements):
+            continue
+        size[None] += n
+        for i, (name, _, cue, k) in enumerate(elements):
+            size[k] += n
+            if name in ARTICLE and not cue:
+                around.setdefault(k, [e[3] for e in elements[:i]])
+    whole = max(around, key=lambda k: (size[k], -k), default=None)
+    return set(around.get(whole, ())) | {k for _, elements in texts for _, _, cue, k in elements if cue and 2 * size[k] > size[whole] and (whole is None or any(e[3] == whole for e in elements))}
+
+
 def tally(pages) -> Counter:
     """(feature, inside) counts of the pages that mark their article."""
     seen: Counter = Counter()

@@ -84,6 +84,17 @@ def test_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ['class="site has-sidebar"', 'class="content no-sidebar"', 'id="page-nav-closed"', 'class="search-results"'])
+def test_cues_of_wrappers_do_not_drop_the_page(wrapper):
+    by = html_text.weights(html_text.tally([PAGE % ("article", "article")] * 20))
+    for name in ("article", "div"):
+        page = (PAGE % (name, name)).replace("Third.", "Third." + " word" * 40).replace("<body>", f"<body><div {wrapper}>").replace("</body>", "</div></body>")
+        assert html_text.main_text(page, by) == TEXT + " word" * 40
+    page = (PAGE % (f"main><div {wrapper}", "div></main")).replace("Third.", "Third." + " word" * 40)
+    assert html_text.main_text(page, by) == TEXT + " word" * 40
+    assert any(x.inside for x in html_text.items((PAGE % ("article", "article")).replace("<body>", f"<body><div {wrapper}>")))
+
+
 def test_region_is_the_best_of_all():
     import random
 
