@@ -9,7 +9,8 @@ one normal form (digits of a phone, lower-case e-mail) over the whole corpus, so
 all its mentions share a surrogate (coreference), each laid out as the mention was.
 Surrogates are derived from SHA-256 of key, kind, normal form and attempt; an entity
 whose surrogate another one holds, or that is itself a real entity of the corpus, takes
-the next attempt until none is left (distinctness).
+the next attempt until none is left (distinctness). Where the surrogates of an entity's
+length run out, those of e-mail addresses, phones and secrets get longer.
 
 Texts that cannot hold an entity (no digit, no @, no name cue) pass by untouched. The
 others are matched once for the corpus' entities and once for the replacement.
@@ -47,6 +48,8 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "до", "за", "ка", "ла", "ма", "на", "па", "ра", "са", "та", "фо", "ха", "ше", "ров"],
     "greek": ["βα", "γε", "δο", "ζα", "κα", "λα", "μα", "να", "πα", "ρα", "σα", "τα", "φο", "χα", "ψε", "δης"],
 }
+#: Attempts at a surrogate as long as the entity; each later one of an e-mail address, phone or secret is a digit longer.
+ROUNDS = 8
 #: Alphabets in which characters are replaced by others of the same class.
 ALPHABETS = {"[0-9]": "123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\\p{IsCyrillic}]": "абвгдежзиклмнопрстуфхцчшэюя", r"[\\p{IsGreek}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\\p{L}]": "áéíóúñçäöüàèêîôû"}
 
@@ -157,7 +160,11 @@ def surrogate(key: str, k: str, n: str, attempt: str) -> str:
     last = f"transform(array({syllables}), a -> initcap(array_join(transform(sequence(1, 4 + {attempt} % 4), j -> a[{draw(h, 'j', '16')}]), '')))[0]"
     person = f"transform(array(struct({gender(n)} AS g, {script(n)} AS s)), p -> concat({title}, IF({words} > 1 OR {title} = '', concat({first.replace('s = ', 'p.s = ').replace('g = ', 'p.g = ')}, ' '), ''), {last.replace('s = ', 'p.s = ')}))[0]"
     digits = swapped(n, h, "0")
-    return f"CASE {k} WHEN 'EMAIL' THEN {email} WHEN 'PHONE' THEN {swapped(n, h, country)} WHEN 'CARD' THEN {card} WHEN 'IBAN' THEN {iban} WHEN 'IPV4' THEN {ip} WHEN 'PERSON' THEN {person} WHEN 'SSN' THEN {digits} ELSE {secret} END"
+    # Short entities have few surrogates of their length; later attempts are longer.
+    longer = swapped(f"repeat('1', greatest(0, {attempt} - {ROUNDS} + 1))", stream(key, sql_text("longer"), k, n, attempt), "0")
+    email = email.replace(", '@', ", f", {longer}, '@', ", 1)
+    phone, secret = f"concat({swapped(n, h, country)}, {longer})", f"concat({secret}, {longer})"
+    return f"CASE {k} WHEN 'EMAIL' THEN {email} WHEN 'PHONE' THEN {phone} WHEN 'CARD' THEN {card} WHEN 'IBAN' THEN {iban} WHEN 'IPV4' THEN {ip} WHEN 'PERSON' THEN {person} WHEN 'SSN' THEN {digits} ELSE {secret} END"
 
 
 def laid_out(k: str, x: str, s: str) -> str:
@@ -165,7 +172,8 @@ def laid_out(k: str, x: str, s: str) -> str:
     cased = f"array_join(transform(filter(split({x}, ''), c -> c <> ''), (c, i) -> IF(c <> lower(c), upper(substring({s}, i + 1, 1)), substring({s}, i + 1, 1))), '')"
     used = "[^0-9+]"
     packed = f"array_join(transform(filter(split({x}, ''), c -> c <> ''), (c, i) -> IF(c RLIKE '[ ().-]', c, substring({s}, 1 + length(regexp_replace(substring({x}, 1, i), IF({k} = 'IBAN', ' ', '{used}'), '')), 1))), '')"
-    return f"CASE WHEN {k} = 'EMAIL' THEN {cased} WHEN {k} IN ('PHONE', 'CARD', 'SSN', 'IBAN') THEN {packed} ELSE {s} END"
+    rest = f"substring({s}, 1 + length(IF({k} = 'PHONE', regexp_replace({x}, '{used}', ''), {x})))"  # of a surrogate that had to be longer
+    return f"CASE WHEN {k} = 'EMAIL' THEN concat({cased}, {rest}) WHEN {k} = 'PHONE' THEN concat({packed}, {rest}) WHEN {k} IN ('CARD', 'SSN', 'IBAN') THEN {packed} ELSE {s} END"
 
 
 def key_of(df: DataFrame) -> str:

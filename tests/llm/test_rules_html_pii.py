@@ -165,6 +165,16 @@ def test_collisions_are_resolved(spark):
     assert len(table) == 100 and len(set(made)) == 100 and not set(made) & set(mails)
 
 
+def test_short_entities_do_not_run_out_of_surrogates(spark):
+    mails = [f"{i}@x.com" for i in range(10)] + ["_@x.com"]
+    table = pii.surrogates(spark.createDataFrame([("EMAIL", m) for m in mails] + [("SECRET", "--------")], "kind string, normal string"), "k").collect()
+    made = [r.surrogate for r in table]
+    assert len(table) == 12 and len(set(made)) == 12 and not set(made) & {*mails, "--------"}
+    assert all(re.fullmatch(r"[1-9_]\d*@[a-z]\.com", r.surrogate) for r in table if r.kind == "EMAIL")
+    texts = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails)], "doc_id long, text string")).collect()]
+    assert len(set(texts)) == 11 and all(re.fullmatch(r"to [1-9_]\d*@[a-z]\.com now", t) for t in texts)
+
+
 def test_key_decides(spark):
     docs = spark.createDataFrame(ENTITIES[:1], "doc_id long, text string")
     spark.conf.set(pii.KEY_SETTING, "another key")
