@@ -1,9 +1,13 @@
 """A hidden Markov language model over words.
 
-Every word belongs to one class: words of at least ``LEAST`` training tokens have one
-each, whatever their number; the others share the class of their last two letters, and all unseen words are one more type. A word's
-probability in a state is the state's emission of its class times the word's share of
-its class in the smoothed unigram, so that every state is a proper distribution.
+Every word belongs to one class: words of at least ``least`` training tokens have one
+each, however many they are; the others share the class of their last two letters, and
+all unseen words are one more type. A word's probability in a state is the state's
+emission of its class times the word's share of its class in the smoothed unigram, so
+that every state is a proper distribution. ``least`` is a count and does not follow the
+size of the corpus: more text gives more words an emission of their own. The driver and
+each task hold ``STATES`` numbers of 8 bytes for each of them; raise ``least`` where
+that is too much.
 Baum-Welch: each task runs the scaled forward and backward recursions over its
 sequences and adds up expected starts, transitions and emissions; Spark sums these
 tables, which have a row for each class and so grow with the vocabulary, and the next
@@ -11,16 +15,21 @@ round starts from them. The scaled forward recursion then gives the exact likeli
 
 Counts come from all training documents. The texts are read once, into blocks of
 sequences of block-local word numbers; the vocabulary, which grows with the corpus, is
-counted by a shuffle and goes back to the blocks by another.
-
-Defined cases: a null or empty text is its end token alone; a null ``doc_id`` is held
-out; with no training documents every token has probability one.
+counted by a shuffle and goes back to the blocks by another. A word is one row for each
+block there, so that its group grows with the blocks (16 MB of text each), not with its
+occurrences; the window over it spills.
+
+Defined cases: a null or empty text is its end token alone; a very long text is a block
+of its own and one sequence, of 4 bytes a token; a null ``doc_id`` is held out; repeated
+rows are scored, and counted, each; with no training documents every token has
+probability one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,13 +40,18 @@ from .common import crc_bucket, discard, text_slices, written
 FOLDS, ADD = 10, 0.1
 STATES, ROUNDS, SEED = 6, 4, 4
 #: Words of at least so many training tokens are classes of their own.
-LEAST = 10
+LEAST = 100
+#: A word longer than this many bytes goes by its 128-bit digest.
+LONG_WORD = 32
 UNSEEN, LETTERS = 0, 27
 FIRST_OWN = 1 + LETTERS * LETTERS
 BLOCK_BYTES = 16 << 20
 #: Tokens of the sequences that one recursion advances together.
 TOKENS = 150_000
 
+#: The table of expected counts crosses the network in single precision.
+COUNT = np.float32
+
 _LETTER = np.full(256, 26, np.int16)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(26)
 
@@ -72,18 +86,18 @@ def blocks(docs: DataFrame) -> DataFrame:
                     return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
 
                 yield rows(0, len(ids), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), ids=pa.array([x.tobytes() for x in ids], pa.binary()))
-                yield rows(1, len(words), word=pa.array(words, pa.binary()), n=pa.array(n, pa.int64()), number=pa.array(np.arange(len(words)), pa.int32()), suffix=pa.array(suffixes(words)))
+                yield rows(1, len(words), word=pa.array([w if len(w) <= LONG_WORD else b"\n" + xxhash.xxh3_128_digest(w) for w in words], pa.binary()), n=pa.array(n, pa.int64()), number=pa.array(np.arange(len(words)), pa.int32()), suffix=pa.array(suffixes(words)))
 
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64()), ("number", pa.int32()), ("suffix", pa.int16())])
     rows = docs.select(F.col("doc_id").cast("long"), (crc_bucket(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "block long, kind int, doc_id long, held_out boolean, ids binary, word binary, n long, number int, suffix short")
 
 
-def counted(vocabulary: DataFrame) -> DataFrame:
+def counted(vocabulary: DataFrame, least: int = LEAST) -> DataFrame:
     """(block, number, c, suffix, first, word): the words' training counts over the corpus; ``word`` only of frequent ones."""
     group = W.partitionBy("word")
     rows = vocabulary.select("block", "number", "suffix", "word", F.sum("n").over(group).alias("c"), (F.max("block").over(group) == F.col("block")).alias("first"))
-    return rows.withColumn("word", F.when(F.col("c") >= LEAST, F.col("word")))
+    return rows.withColumn("word", F.when(F.col("c") >= least, F.col("word")))
 
 
 class Unigram:
@@ -235,9 +249,9 @@ def train(rows: DataFrame, unigram: Unigram, rounds: int = ROUNDS) -> Hmm:
             if total is not None:
                 table = np.concatenate([total[0][None], total[1], total[2]])
                 used = np.flatnonzero(table.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, j]) for j in range(k))], ["row", *(f"s{j}" for j in range(k))])
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, j].astype(COUNT)) for j in range(k))], ["row", *(f"s{j}" for j in range(k))])
 
-        stats = rows.where(~F.col("held_out")).select("classes").mapInArrow(count, "row int, " + ", ".join(f"s{j} double" for j in range(k)))
+        stats = rows.where(~F.col("held_out")).select("classes").mapInArrow(count, "row int, " + ", ".join(f"s{j} float" for j in range(k)))
         table = np.zeros((1 + k + len(unigram.mass), k))
         sums = stats.groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each class and state
         for j in range(k):
@@ -246,13 +260,16 @@ def train(rows: DataFrame, unigram: Unigram, rounds: int = ROUNDS) -> Hmm:
     return model
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Per document doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    least: training tokens from which a word has an emission of its own.
+    """
     spark = docs.sparkSession
     both, raw = written(blocks(docs))
     vocabulary = both.where("kind = 1")
     tokens = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words, looked = written(counted(vocabulary))
+    words, looked = written(counted(vocabulary, least))
     own = words.where("first AND word IS NOT NULL").select("word").toArrow().sort_by("word")
     named = spark.createDataFrame(own.append_column("own", pa.array(np.arange(len(own)) + FIRST_OWN, pa.int32())), "word binary, own int")
     words = words.join(F.broadcast(named), "word", "left").withColumn("cls", F.when(F.col("c") == 0, UNSEEN).otherwise(F.coalesce("own", F.col("suffix").cast("int"))))

@@ -140,15 +140,16 @@ def test_language_model_scores(odd_docs, odd_texts, tables):
 
 
 def test_every_frequent_word_has_its_own_emission(spark, monkeypatch):
-    ids = [i for i in range(100) if bucket(i, 10)][: hmm.LEAST]
+    least = 10
+    ids = [i for i in range(100) if bucket(i, 10)][:least]
     docs = [(i, " ".join(f"w{k}x" for k in range(3000)) + " rare") for i in ids[:-1]] + [(ids[-1], " ".join(f"w{k}x" for k in range(3000)))]
     seen, train = [], hmm.train
     monkeypatch.setattr(hmm, "train", lambda rows, unigram: seen.append((unigram, train(rows, unigram))) or seen[-1][1])
-    rows = hmm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    rows = hmm.score(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()
     unigram, model = seen[0]
     assert model.emit.shape == (hmm.STATES, hmm.FIRST_OWN + 3001)  # all but "rare", and the end token
     assert (unigram.mass[hmm.FIRST_OWN :] > 0).all() and np.allclose(model.emit.sum(1), 1)
-    assert len(rows) == hmm.LEAST and all(math.isfinite(r.score) for r in rows)
+    assert len(rows) == least and all(math.isfinite(r.score) for r in rows)
 
 
 def test_word_probabilities_sum_to_one():
