@@ -121,9 +121,21 @@ ENTITIES = [
 SECRETS = ["foo.bar", "mail5", "555", "3824", "10.20.30.40", "4984250489669609", "8966", "24be6443", "b7db7aa4", "SJDZWJNP", "3704 0044", "WEST1234", "078-05", "Anna", "Smith", "Jones", "Иванов", "Pierre", "Dupont"]
 
 
+KEY = "a key"
+
+
+def table_of(spark, entities):
+    return pii.surrogates(spark.createDataFrame(entities, "kind string, normal string"), KEY).collect()
+
+
+def rewritten(spark, texts):
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
 @pytest.fixture(scope="module")
 def surrogates(spark):
-    return pii.pseudonymise(spark.createDataFrame(ENTITIES, "doc_id long, text string")).collect()
+    return pii.pseudonymise(spark.createDataFrame(ENTITIES, "doc_id long, text string"), KEY).collect()
 
 
 def test_entities_are_gone_and_the_rest_stays(surrogates):
@@ -157,36 +169,84 @@ def test_surrogates_keep_kind_format_and_coreference(surrogates):
     assert re.search(r"Mrs\. (\w+)", by[7][0])[1] in pii.GIVEN["F", "latin"]
 
 
+def test_names_phones_and_their_forms_stay_one_entity(spark):
+    names, phones, other = rewritten(spark, ["Mr Smith, John Smith and Mr. Smith", "+1 555 123 4567, (555) 123-4567, 555-123-4567", "Mr Jones"])
+    a, b, c = re.fullmatch(r"Mr (\w+), \w+ (\w+) and Mr\. (\w+)", names).groups()
+    assert a == b == c != "Smith" and a not in other
+    assert len({re.sub(r"\D", "", x)[-10:] for x in phones.split(", ")}) == 1 and "5551234567" not in re.sub(r"\D", "", phones)
+    assert re.fullmatch(r"\+1 \d{3} \d{3} \d{4}, \(\d{3}\) \d{3}-\d{4}, \d{3}-\d{3}-\d{4}", phones)
+
+
+def test_names_by_context(spark):
+    texts = rewritten(spark, ["my name is Priya Patel.", "Wei Chen <wei.chen@x.org>", "Author: Jean-Luc Le-Grand", "Priya Patel is not introduced"])
+    assert not any(w in " ".join(texts[:3]) for w in ("Priya", "Patel", "Wei", "Chen", "Jean", "Grand"))
+    assert re.fullmatch(r"Author: [A-Z]\w+-[A-Z]\w+ [A-Z]\w+-[A-Z]\w+", texts[2]) and texts[3] == "Priya Patel is not introduced"
+
+
+@pytest.mark.parametrize("n", [65, 130, 200, 5000])
+def test_length_hides_no_secret(spark, n):
+    values = ["x1" * (n // 2), "sk-" + "aB3" * (n // 3), "ab1" * (n // 3), "q" * n + "@x.org", "github_pat_" + "Ab1_" * (n // 4)]
+    out = rewritten(spark, [f"a password={values[0]} b", *[f"a {v} b" for v in values[1:]], "password=correcthorsebattery", "password=1234567890123456", "api_key: abcdefghijklmnop"])
+    for text, v in zip(out, [*values, "correcthorse", "1234567890123456", "abcdefghijklmnop"]):
+        assert not any(v[i : i + 8] in text for i in (0, len(v) // 2, max(0, len(v) - 14))) or v.startswith(("sk-", "github")) and v[12:20] not in text
+        assert not text.startswith("a ") or text.endswith(" b")
+
+
 def test_collisions_are_resolved(spark):
-    # Two-digit hosts leave few surrogates, so that the first attempts collide.
+    # Two-letter addresses leave few surrogates, so that the first attempts collide.
     mails = [f"{a}{b}@x.yz" for a in "abcdefghij" for b in "klmnopqrst"]
-    table = pii.surrogates(spark.createDataFrame([("EMAIL", m) for m in mails], "kind string, normal string"), "k").collect()
+    table = table_of(spark, [("EMAIL", m) for m in mails])
     made = [r.surrogate for r in table]
     assert len(table) == 100 and len(set(made)) == 100 and not set(made) & set(mails)
 
 
-def test_short_entities_do_not_run_out_of_surrogates(spark):
+def test_full_spaces_end_in_longer_surrogates(spark):
     mails = [f"{i}@x.com" for i in range(10)] + ["_@x.com"]
-    table = pii.surrogates(spark.createDataFrame([("EMAIL", m) for m in mails] + [("SECRET", "--------")], "kind string, normal string"), "k").collect()
+    table = table_of(spark, [("EMAIL", m) for m in mails] + [("SECRET", "--------"), ("IPV4", "...."), ("SURNAME", "")])
     made = [r.surrogate for r in table]
-    assert len(table) == 12 and len(set(made)) == 12 and not set(made) & {*mails, "--------"}
+    assert len(table) == 14 and len(set(made)) == 14 and not set(made) & {*mails, "--------"}
     assert all(re.fullmatch(r"[1-9_]\d*@[a-z]\.com", r.surrogate) for r in table if r.kind == "EMAIL")
-    texts = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails)], "doc_id long, text string")).collect()]
+    texts = rewritten(spark, [f"to {m} now" for m in mails])
     assert len(set(texts)) == 11 and all(re.fullmatch(r"to [1-9_]\d*@[a-z]\.com now", t) for t in texts)
 
 
-def test_key_decides(spark):
+def test_many_phones_of_one_prefix(spark):
+    phones = [f"+1743555{i:05d}"[:12] for i in range(0, 100_000, 10)]
+    table = table_of(spark, [("PHONE", p) for p in sorted(set(phones))])
+    made = {r.surrogate for r in table}
+    assert len(made) == len(set(phones)) and not made & set(phones)
+
+
+def test_kinds_do_not_share_surrogates(spark):
+    real = [("SSN", f"{i:09d}") for i in range(111111111, 111111151)] + [("SECRET", f"{i:09d}") for i in range(111111111, 111111151)]
+    made = [r.surrogate for r in table_of(spark, real)]
+    assert len(set(made)) == 80 and not set(made) & {n for _, n in real}
+
+
+def test_copies_are_not_one_group(spark):
+    docs = spark.createDataFrame([(i, "write to a.b@c.org") for i in range(500)] + [(None, "write to a.b@c.org")] * 2, "doc_id long, text string")
+    rows = pii.pseudonymise(docs, KEY).collect()
+    assert len(rows) == 502 and len({r.text for r in rows}) == 1 and {r.n_entities for r in rows} == {1}
+
+
+def test_key_decides_and_is_needed(spark):
     docs = spark.createDataFrame(ENTITIES[:1], "doc_id long, text string")
-    spark.conf.set(pii.KEY_SETTING, "another key")
-    try:
-        other = pii.pseudonymise(docs).first().text
-    finally:
-        spark.conf.unset(pii.KEY_SETTING)
-    assert other != pii.pseudonymise(docs).first().text
+    assert pii.pseudonymise(docs, "other").first().text != pii.pseudonymise(docs, KEY).first().text
+    with pytest.raises(ValueError):
+        pii.rewrite(docs, "")
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long " * 40):
+        got = spark.range(1).selectExpr(pii.keyed(key, "'message é'")).first()[0]
+        assert got == hmac.new(key.encode(), "message é".encode(), hashlib.sha256).hexdigest()
 
 
 def test_rewrite_keeps_columns_and_rows(clashing_docs, odd_texts, no_docs):
-    out = pii.rewrite(clashing_docs)
+    out = pii.rewrite(clashing_docs, KEY)
     assert out.columns == clashing_docs.columns
     assert Counter(r.text for r in out.select("text").collect()) == Counter(t for _, t, *_ in odd_texts)
-    assert pii.rewrite(no_docs).count() == 0 and pii.pseudonymise(no_docs).count() == 0
+    assert pii.rewrite(no_docs, KEY).count() == 0 and pii.pseudonymise(no_docs, KEY).count() == 0
