@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import exact_dedup, packing, pii, quality_rules, simhash
 from rillflow.llm.common import table, written
-from rillflow.llm.queries import vocabulary
+from rillflow.llm.queries import pii_key, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.rewrite(docs)
+    return pii.rewrite(docs, pii_key(spark))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
