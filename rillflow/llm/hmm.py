@@ -49,8 +49,8 @@ BLOCK_BYTES = 16 << 20
 #: Tokens of the sequences that one recursion advances together.
 TOKENS = 150_000
 
-#: The table of expected counts crosses the network in single precision.
-COUNT = np.float32
+#: Expected counts cross the network in single precision, in records of this many classes.
+COUNT, CHUNK = np.float32, 4096
 
 _LETTER = np.full(256, 26, np.int16)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(26)
@@ -236,6 +236,26 @@ def decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in batch.column("classes").to_pylist()]
 
 
+def packed(table: np.ndarray) -> pa.RecordBatch:
+    """The non-zero rows of a table of expected counts, as a record for each ``CHUNK`` rows."""
+    used = np.flatnonzero(table.any(1))
+    edge = np.searchsorted(used, np.arange(0, len(table) + CHUNK, CHUNK))
+    parts = [(k, used[i:j]) for k, (i, j) in enumerate(zip(edge, edge[1:])) if i < j]
+    places = [(at - k * CHUNK).astype(np.uint16).tobytes() for k, at in parts]
+    values = [table[at].astype(COUNT).tobytes() for _, at in parts]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["chunk", "places", "counts"])
+
+
+def summed(batches, states: int):
+    """The records of each chunk added up, in double precision; a task holds the sums of its chunks only."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            own = total.setdefault(chunk, np.zeros((CHUNK, states)))
+            own[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, COUNT).reshape(-1, states)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+
 def train(rows: DataFrame, unigram: Unigram, rounds: int = ROUNDS) -> Hmm:
     model, k = Hmm.initial(unigram), STATES
 
@@ -247,16 +267,14 @@ def train(rows: DataFrame, unigram: Unigram, rounds: int = ROUNDS) -> Hmm:
                 own = model.expect(decoded(batch))
                 total = own if total is None else tuple(a + b for a, b in zip(total, own))
             if total is not None:
-                table = np.concatenate([total[0][None], total[1], total[2]])
-                used = np.flatnonzero(table.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, j].astype(COUNT)) for j in range(k))], ["row", *(f"s{j}" for j in range(k))])
-
-        stats = rows.where(~F.col("held_out")).select("classes").mapInArrow(count, "row int, " + ", ".join(f"s{j} float" for j in range(k)))
-        table = np.zeros((1 + k + len(unigram.mass), k))
-        sums = stats.groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each class and state
-        for j in range(k):
-            table[sums.column("row").to_numpy(), j] = sums.column(f"s{j}").to_numpy()
-        model = Hmm.from_counts(table[0], table[1 : 1 + k], table[1 + k :], unigram)
+                yield packed(np.concatenate([total[0][None], total[1], total[2]]))
+
+        stats = rows.where(~F.col("held_out")).select("classes").mapInArrow(count, "chunk int, places binary, counts binary")
+        sums = stats.repartition("chunk").mapInArrow(lambda batches: summed(batches, k), "chunk int, counts binary").collect()  # K numbers for each class
+        table = np.zeros((-(-(1 + k + len(unigram.mass)) // CHUNK) * CHUNK, k))
+        for r in sums:
+            table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts).reshape(CHUNK, k)
+        model = Hmm.from_counts(table[0], table[1 : 1 + k], table[1 + k : 1 + k + len(unigram.mass)], unigram)
     return model
 
 
