@@ -6,9 +6,15 @@ sorted pair keys, takes the lowest rank of each piece, and merges all its occurr
 from the left. Finished pieces leave the array, so late rounds touch few symbols.
 Each distinct piece of a batch is encoded once.
 
+A long piece (a text without spaces) merges in many places in a round: a pair may go
+ahead of the lowest rank if no lower one stands within the length of the longest token.
+What merges earlier can reach it only by growing into it, and no token is that long.
+
 The vocabulary file (a tokenizers JSON) is a parameter. Special tokens in a text are
-recognised, as the library does by default. A null text counts as empty: no ids, the
-digest of no bytes, and an empty decoded text.
+recognised, as the library does by default. Defined cases: a null text counts as empty:
+no ids, the digest of no bytes, and an empty decoded text; very long texts are encoded
+whole, with about 40 bytes of memory a byte; repeated rows are encoded each; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,6 +68,7 @@ class Bpe:
             token[i] = text.encode("utf-8")
         self.length = np.array([len(x) for x in token], np.int64)
         self.start = np.cumsum(self.length) - self.length
+        self.reach = int(self.length[made].max(initial=1))
         self.bytes = np.frombuffer(b"".join(token), np.uint8)
         self.pieces = regex.compile(PATTERN).findall
         named = sorted(self.special, key=len, reverse=True)
@@ -76,6 +83,18 @@ class Bpe:
             out.extend([part] if i % 2 else self.pieces(part))
         return out
 
+    def ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at the places ``at``; the number of merges where there is none."""
+        out = np.full(len(at), len(self.keys), np.int32)
+        pairs = np.flatnonzero(at + 1 < len(sym))
+        pairs = pairs[word[at[pairs]] == word[at[pairs] + 1]]
+        key = sym[at[pairs]].astype(np.int64) * self.size + sym[at[pairs] + 1]
+        place = np.searchsorted(self.keys, key)
+        place[place == len(self.keys)] = 0
+        found = self.keys[place] == key
+        out[pairs[found]] = self.rank[place[found]]
+        return out
+
     def encode_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in one flat array, number of ids of each word)."""
         done_ids, done_word = [], []
@@ -88,12 +107,8 @@ class Bpe:
                 done_ids.append(np.array([self.special[w]], np.int32))
                 done_word.append(np.array([i]))
         none = np.int32(len(self.keys))
+        rank = self.ranks(sym, word, np.arange(len(sym)))
         while len(sym):
-            key = sym[:-1].astype(np.int64) * self.size + sym[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank[at], none)
-            rank = np.append(rank, none)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, first)
             count = np.diff(np.r_[first, len(sym)])
@@ -105,8 +120,16 @@ class Bpe:
                 least, count = least[least < none], count[least < none]
                 if not len(sym):
                     break
-            hit = rank == np.repeat(least, count)
+            limit = np.repeat(least, count)
+            long = np.flatnonzero(count > 2 * self.reach)
+            for o, n in zip((np.cumsum(count) - count)[long], count[long]):
+                limit[o : o + n] = lowest_around(rank[o : o + n], self.reach, none)
+            hit = (rank == limit) & (rank < none)
             # Of occurrences that overlap (a run such as x x x), every second one from the left.
+            start = np.r_[True, rank[1:] != rank[:-1]]
+            if len(long):  # a run is merged as a whole or waits
+                run = np.cumsum(start) - 1
+                hit &= np.logical_and.reduceat(hit, np.flatnonzero(start))[run]
             at = np.flatnonzero(hit)
             run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
             place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
@@ -114,7 +137,10 @@ class Bpe:
             sym[at] = self.made[rank[at]]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym, word = sym[stay], word[stay]
+            sym, word, rank = sym[stay], word[stay], rank[stay]
+            new = at - np.arange(len(at))  # one symbol has gone before each later merge
+            for touched in (new, new[new > 0] - 1):
+                rank[touched] = self.ranks(sym, word, touched)
         if not done_ids:
             return np.empty(0, np.int32), np.zeros(len(words), np.int64)
         ids, word = np.concatenate(done_ids), np.concatenate(done_word)
@@ -133,6 +159,17 @@ class Bpe:
         return self.bytes[spans(self.start[ids], self.length[ids])].tobytes().decode("utf-8", "replace")
 
 
+def lowest_around(x: np.ndarray, reach: int, none: int) -> np.ndarray:
+    """The minimum of x[i - reach], ..., x[i + reach] for each i."""
+    width = 2 * reach + 1
+    flat = np.full(-(-(len(x) + 2 * reach) // width) * width, none, x.dtype)
+    flat[reach : reach + len(x)] = x
+    rows = flat.reshape(-1, width)
+    before = np.minimum.accumulate(rows, 1).ravel()
+    after = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(after[: len(x)], before[width - 1 : width - 1 + len(x)])
+
+
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions start[i], ..., start[i] + size[i] - 1 for each i in turn."""
     total = int(size.sum())
