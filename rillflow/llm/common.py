@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,20 +28,25 @@ def without_statistics(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     try:
         plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
-    except Exception:  # no such method in this Spark: only planning is slower then
+    except (AttributeError, TypeError, Py4JError):  # no such method in this Spark: only planning is slower then
         return df
     return DataFrame(plain, spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the cluster's ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    Cuts the lineage and survives lost executors. The folder is the cluster's
-    ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own.
+    Cuts the lineage and survives lost executors.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
+    shared_folder(df.sparkSession)
     return without_statistics(df.checkpoint(eager=True))
 
 
@@ -53,6 +58,21 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Share of the rows from which a join key counts as hot: at most 1,024 keys.
+HOT = 1 / 1024
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and the number ``n`` of left rows of it.
+
+    Keys of more than ``HOT`` of all ``rows`` (at most ``1 / HOT`` of them) are broadcast, so
+    that none of them is one task's; the others are shuffled.
+    """
+    hot = F.col(n) >= max(2, rows * HOT)
+    heavy, light = F.broadcast(right.where(hot).drop(n)), right.where(~hot).drop(n)
+    return left.join(heavy, key).unionByName(left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(light, key))
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id falls into bucket of the empty text (0)."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
@@ -81,15 +101,22 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared checkpoint folder, and its path; for tables too wide for :func:`cut`."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Paths of the tables of :func:`written` that this driver has not deleted.
+_TABLES: list[str] = []
+
+
+def tables() -> list[str]:
+    return list(_TABLES)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of :func:`written`."""
+    _TABLES.remove(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
