@@ -10,11 +10,18 @@ a key, about ten keys a pair, and no link is missed. Rows with equal keys meet i
 bucket; every pair of a bucket is verified, but a task passes on only a spanning
 forest of the links it found. Components follow by alternating star contraction.
 
-Equal fingerprints are one node, so that groups of copies never meet in a bucket.
-
-Defined cases: a null or blank text has fingerprint zero and is linked like any other;
-a null ``doc_id`` is ignored for component ids unless the whole component has none;
-repeated rows share a component; of rows that tie on ``doc_id`` and text one stays.
+Equal fingerprints are one node, so that groups of copies never meet in a bucket. A
+fingerprint, node or component of more than 1/1024 of the rows is joined map side.
+
+A bucket is one of 3 x 2^24, so that it holds about 29 / 5e7 of the distinct
+fingerprints, and pairs grow with the square: 10^10 distinct fingerprints make buckets of
+5,800 rows and 8e14 comparisons of 8 bytes each, some hours of a thousand cores.
+
+Defined cases: a null or blank text has fingerprint zero and is linked like any other; a
+very long text is hashed whole, with some 30 bytes of memory a byte; a null ``doc_id`` is
+ignored for component ids unless the whole component has none; repeated rows share a
+component; of rows that tie on ``doc_id`` and text one stays; an empty table gives no
+rows; other columns are ignored, or carried along by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import cut, fresh, join_hot
 
 WORDS, LINK, SEED = 4, 4, 42
 #: Widths of the segments, and the pairs of them that make keys.
@@ -207,10 +214,11 @@ def components(pairs: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = sums
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, least, "u", "n", 2 * sums[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = cut(large)
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, lower, "u", "n", large.count()).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
 
 
@@ -219,23 +227,24 @@ def _printed(docs: DataFrame) -> DataFrame:
 
 
 def _groups(printed: DataFrame) -> DataFrame:
-    """(fp, best) with the first row of each fingerprint's component: struct(lost, doc_id, text_hash)."""
+    """(fp, n, best): each fingerprint's rows and the first row of its component, struct(lost, doc_id, text_hash)."""
     row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
-    unique = cut(printed.groupBy("fp").agg(F.min(row).alias("own")))
+    unique = cut(printed.groupBy("fp").agg(F.min(row).alias("own"), F.count(F.lit(1)).alias("n")))
     roots = components(cut(links(unique)))
     # A node's own row belongs to its root's component too, so the roots are members as well.
     member = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    linked = unique.join(member, "fp")
-    best = linked.groupBy("root").agg(F.min("own").alias("best"))
-    known = linked.join(best, "root").select("fp", "best")
-    return unique.join(known, "fp", "left").select("fp", F.coalesce("best", "own").alias("best"))
+    linked = cut(unique.join(member, "fp"))
+    best = linked.groupBy("root").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("members"))
+    known = join_hot(linked, best, "root", "members", linked.count()).select("fp", "best")
+    return cut(unique.join(known, "fp", "left").select("fp", "n", F.coalesce("best", "own").alias("best")))
 
 
 def clusters(docs: DataFrame) -> DataFrame:
     """Per document doc_id, fingerprint (16 hex digits) and component_id, the least id of its component."""
     printed = _printed(docs)
-    groups = _groups(printed).select("fp", F.col("best.doc_id").alias("component_id"))
-    return printed.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = _groups(printed).select("fp", "n", F.col("best.doc_id").alias("component_id"))
+    met = join_hot(printed, groups, "fp", "n", printed.count())
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
