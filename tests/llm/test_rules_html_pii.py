@@ -84,15 +84,49 @@ def test_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("wrapper", ['class="site has-sidebar"', 'class="content no-sidebar"', 'id="page-nav-closed"', 'class="search-results"'])
-def test_cues_of_wrappers_do_not_drop_the_page(wrapper):
-    by = html_text.weights(html_text.tally([PAGE % ("article", "article")] * 20))
+@pytest.fixture(scope="module")
+def learned():
+    return html_text.Model(html_text.tally([PAGE % ("article", "article")] * 20))
+
+
+@pytest.mark.parametrize("wrapper", ['class="site has-sidebar"', 'class="content no-sidebar"', 'id="page-nav-closed"', 'class="search-results"', 'class="share-price"'])
+def test_names_of_wrappers_do_not_drop_the_page(learned, wrapper):
     for name in ("article", "div"):
         page = (PAGE % (name, name)).replace("Third.", "Third." + " word" * 40).replace("<body>", f"<body><div {wrapper}>").replace("</body>", "</div></body>")
-        assert html_text.main_text(page, by) == TEXT + " word" * 40
+        assert html_text.main_text(page, learned) == TEXT + " word" * 40
     page = (PAGE % (f"main><div {wrapper}", "div></main")).replace("Third.", "Third." + " word" * 40)
-    assert html_text.main_text(page, by) == TEXT + " word" * 40
-    assert any(x.inside for x in html_text.items((PAGE % ("article", "article")).replace("<body>", f"<body><div {wrapper}>")))
+    assert html_text.main_text(page, learned) == TEXT + " word" * 40
+
+
+@pytest.mark.parametrize("name", ["social-history", "social", "share", "banner", "widget-12"])
+def test_names_in_an_article_do_not_drop_text(learned, name):
+    page = (PAGE % ("article", "article")).replace("<p>Third.", f'<p class="{name}">Third.')
+    assert html_text.main_text(page, learned) == TEXT
+
+
+def test_the_scan_finds_the_region_that_no_name_marks(learned):
+    links = "".join(f'<div><a href="/{i}">Link {i} here</a></div>' for i in range(12))
+    page = f"<html><body>{links}<div><h1>The head line</h1><p>{'some words ' * 30}</p><p>{'more of it ' * 20}</p></div>{links}<div>Imprint</div></body></html>"
+    want = "The head line\n" + ("some words " * 30).strip() + "\n" + ("more of it " * 20).strip()
+    assert html_text.main_text(page, learned) == want
+    assert html_text.main_text(page, learned, lambda scores: (0, len(scores))) != want
+
+
+def test_counts_of_nested_names():
+    page = '<body><div class="a"><div id="b7">one two</div> three</div><nav><ul><li>four</li></ul></nav><article><p class="c">five <a>six</a></p></article></body>'
+    seen = {k: n for k, n in html_text.tally([page]).items() if k[0][:2] != "t:"}
+    assert seen == {("m:a", False): 3, ("m:b#", False): 2, ("e:nav", False): 1, ("m:c", True): 2, ("b:p", True): 2, ("l:a", True): 1}
+    assert not html_text.tally([page.replace("article", "section")])
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 150_000, '<a "' * 250_000, "<div>x " * 70_000 + "</p>" * 70_000, "<p>a" * 200_000, "<script " * 120_000, "".join(f'<div class="c{i} d">x ' for i in range(30_000))], ids=["nested", "quotes", "ends", "open", "raw", "names"])
+def test_a_megabyte_of_tags_takes_linear_time(learned, page):
+    import time
+
+    start = time.time()
+    html_text.main_text("<article><p>a b c</article>" + page, learned)
+    html_text.tally(["<article><p>a b c</article>" + page])
+    assert time.time() - start < 30
 
 
 def test_region_is_the_best_of_all():
