@@ -1,21 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. The
-toxic one extends the ordinary one by what only toxic text repeats, so that both
+Two zstandard dictionaries: the ordinary one is trained by zstandard on windows of
+ordinary text, the toxic one extends it by what only toxic text repeats, so that both
 compress ordinary windows alike and a window's difference in compressed length tells
 of toxic content. A window is one word, three times over: shorter input is left raw by
 the coder, and longer windows add matches of ordinary text. Thresholds on the
 difference, counted over all windows of the text, are calibrated to a probability on
 labelled documents that did not train the dictionaries.
 
+This departs from two dictionaries trained by zstandard and windows of running text,
+which did not find toxic documents that are ordinary but for a few words (README).
 Toxic training text is mostly ordinary. Its contrast is the words whose different
 surroundings (copies of a document share theirs) lie in toxic text so much more often
 than the classes' shares explain that chance is ruled out at ``CHANCE``, over all words.
 
 Labels come from rows outside the held-out fold, at most ``labelled.SAMPLE`` of each
 class; neither language, source nor id enters a score. Defined cases: a null or empty
-text has no window and gets the score of a text without signs; if either class has no
-labelled document, every score is the share of toxic labels.
+text has no window and gets the score of a text without signs; a very long text is
+scored whole, each distinct word once; repeated rows get equal scores; an empty table
+gives no rows; other columns are ignored; if either class has no labelled document,
+every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from .common import text_slices
 CHANCE = 0.01
 #: Lengths in bytes of beginnings that inflected or compound words share.
 BEGINNINGS = (4, 5, 6, 7)
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL, REPEATS = 8192, 4096, 6, 3
+ORDINARY_BYTES, LEVEL, REPEATS = 8192, 6, 3
 #: Differences in bytes whose counts are the features, beside the largest difference.
 THRESHOLDS = (2, 3, 4, 5, 6)
 EDGE = b".,;:!?#$%&*\"'()[]|<>-"
@@ -155,7 +159,7 @@ def fit(texts: list[str], y: np.ndarray, sizes: tuple[int, int]) -> Model:
     picked = [words[i] for i in np.flatnonzero(teach & (y == 0))]
     ordinary = trained(ORDINARY_BYTES, [b" ".join(w[i : i + 12]) + b" " for w in picked for i in range(0, len(w), 12)])
     only = contrast([words[i] for i in np.flatnonzero(teach & (y == 1))], picked)
-    toxic = b" " + b" ".join(only)[-TOXIC_BYTES:] + b" "
+    toxic = b" " + b" ".join(only) + b" "  # all of them; the bounded sample bounds their number
     rest = ~teach if not teach.all() else teach
     x = features([raw[i] for i in np.flatnonzero(rest)], ordinary, toxic)
     beta = labelled.logistic(x, y[rest], labelled.class_weights(y[rest], sizes), ridge=0.1)
