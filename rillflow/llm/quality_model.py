@@ -8,8 +8,10 @@ documents carry labels; the attention is learned with the rest by gradient desce
 
 Labels come from rows outside the held-out fold, at most ``SAMPLE`` of each class;
 neither language, source nor id enters a score. Defined cases: a null or empty text is
-one empty passage; if either class has no labelled document, every score is the share
-of good labels.
+one empty passage; a very long text is encoded in parts, with 1 kB of memory for each of
+its passages; repeated rows get equal scores; an empty table gives no rows; other columns
+are ignored; if either class has no labelled document, every score is the share of good
+labels.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ taken (the most lenient of equals). With probability 1 - ``DELTA`` no stratum th
 loses more than ``ALPHA`` of its good documents; a stratum with too few labels
 certifies nothing and the rules reject nothing there.
 
-Defined cases: a null text has no words and fails the base rules; a null language is
-a stratum of its own; a document labelled twice counts as good only if all its labels
+Defined cases: a null or empty text has no words and fails the base rules; a very long
+text is measured whole; repeated rows are judged each; an empty table gives no rows;
+other columns are carried along by :func:`keep_good`, whatever their names; a null
+language is a stratum of its own; a document labelled twice counts as good only if all its labels
 say so; null labels are ignored; with no labels at all only the base rules act.
 """
 
@@ -115,9 +117,22 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(Bin(n, p) <= k), exact up to float64."""
     if k >= n:
         return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(log)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
+    # From the largest term of the sum outwards, each from the one before.
+    m = min(k, int((n + 1) * p))
+    top = math.exp(math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1) + m * math.log(p) + (n - m) * math.log1p(-p))
+    total = term = 1.0
+    for i in range(m, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        if term < 1e-18 * total:
+            break
+    term = 1.0
+    for i in range(m + 1, k + 1):
+        term *= (n - i + 1) * p / (i * (1 - p))
+        total += term
+        if term < 1e-18 * total:
+            break
+    return min(1.0, top * total)
 
 
 def certified(k: int, n: int, tests: int, alpha: float = ALPHA, delta: float = DELTA) -> bool:
