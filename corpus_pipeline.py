@@ -1,7 +1,9 @@
 """Corpus preparation in five stages: rules, exact and near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``. Defined cases are those of the stages:
+nulls and blank texts fail the base rules, very long texts go through whole, of repeated
+rows one stays, an empty table gives no pieces, other columns are carried along.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import exact_dedup, packing, pii, quality_rules, simhash
-from rillflow.llm.common import table, written
+from rillflow.llm.common import discard, table, tables, written
 from rillflow.llm.queries import pii_key, vocabulary
 
 
@@ -46,7 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of all documents that the stages keep; tables that no later stage reads are deleted."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = {*tables(), path}
+        docs, new = written(stage(spark, docs, sf_dir))
+        for old in {*tables()} - before - {new}:
+            discard(spark, old)
+        if path:
+            discard(spark, path)
+        path = new
+    pieces = STAGES[-1][1](spark, docs, sf_dir)  # stands on checkpoints of its own
+    discard(spark, path)
+    return pieces
