@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,20 +64,10 @@ def compare_flowdir(flowdir_fine: Grid, flowdir_coarse: Grid, seeds: DataFrame,
     # Follow the coarse directions from every run but the last until a cell of the path.
     edges = closure.cut(pointers(flowdir_coarse).select("cell", "p"))
     links = edges.where("p IS NOT NULL")
-    limit = longest_walk(edges)
     spots = runs.select("seed_id", F.col("coarse").alias("at"), F.col("ic").alias("pos"))
-    open_ = runs.where("ic < last").select("seed_id", "ic", F.col("coarse").alias("cell"), F.lit(0).cast("long").alias("off"))
-    landed = None
+    open_ = runs.where("ic < last").select("seed_id", "ic", F.col("coarse").alias("cell"))
     later = F.col("pos") > F.col("ic") if strict_upstream or cascade else F.col("pos") != F.col("ic")
-    for _ in range(limit + 1):
-        moved = open_.join(links, "cell").select("seed_id", "ic", F.col("p").alias("at"), "off")
-        hits = moved.join(spots, ["seed_id", "at"], "left").groupBy("seed_id", "ic", "at", "off").agg(F.count("pos").alias("hits"), F.min(F.when(later, F.col("pos"))).alias("landed"))
-        hits = closure.cut(hits)
-        own = hits.where("hits > 0").select("seed_id", "ic", "landed", "off")
-        landed = own if landed is None else landed.unionByName(own)
-        open_ = hits.where("hits = 0").select("seed_id", "ic", F.col("at").alias("cell"), (F.col("off") + 1).alias("off"))
-        if open_.isEmpty():
-            break
+    landed = first_hits(open_, links, spots, later)
     state = runs.select("seed_id", "ic", "n", "last").join(landed, ["seed_id", "ic"], "left")
     if cascade:
         # A run is right if the chain of landings ends at the path's last cell.
@@ -93,8 +83,42 @@ def compare_flowdir(flowdir_fine: Grid, flowdir_coarse: Grid, seeds: DataFrame,
     return seeds.select("seed_id").join(counted, "seed_id", "left").select("seed_id", F.coalesce(score, F.lit(-1.0)).cast("float").alias("score"))
 
 
+def first_hits(open_: DataFrame, links: DataFrame, spots: DataFrame, later: Column) -> DataFrame:
+    """(seed_id, ic, landed, off) of the walks (seed_id, ic, cell) along ``links`` that reach a spot (seed_id, at, pos).
+
+    off counts the steps before the first spot, landed is the least ``later`` position there.
+    A round covers twice the steps of the one before, enumerated from the longest jump
+    down, so that rounds are the logarithm of the longest walk and a walk is listed to at
+    most twice the length that it needs.
+    """
+    parts, jumps, limit, past = [], [links], None, 0
+    for k in range(64):
+        rows = open_.join(links, "cell").select("seed_id", "ic", F.col("p").alias("at"), F.lit(past).cast("long").alias("off"))
+        for j in reversed(range(k)):
+            ahead = jumps[j].select(F.col("cell").alias("at"), F.col("p").alias("_far"))
+            both = F.array(F.struct("at", "off"), F.struct(F.col("_far").alias("at"), (F.col("off") + (1 << j)).alias("off")))
+            rows = rows.join(ahead, "at", "left").select("seed_id", "ic", F.explode(both).alias("x")).select("seed_id", "ic", "x.at", "x.off").where("at IS NOT NULL")
+        hits = rows.join(spots, ["seed_id", "at"]).groupBy("seed_id", "ic", "off").agg(F.min(F.when(later, F.col("pos"))).alias("landed"))
+        parts.append(closure.cut(hits.groupBy("seed_id", "ic").agg(F.min(F.struct("off", "landed")).alias("x")).select("seed_id", "ic", "x.landed", "x.off")))
+        past += 1 << k
+        on = open_.join(jumps[k].withColumnRenamed("p", "_p"), "cell").join(parts[-1].select("seed_id", "ic"), ["seed_id", "ic"], "left_anti")
+        open_ = closure.cut(on.select("seed_id", "ic", F.col("_p").alias("cell")))
+        if open_.isEmpty():
+            break
+        if k == 6:  # so long a walk may be on a ring
+            limit = longest_walk(links)
+        if limit is not None and past > limit:
+            break
+        jumps.append(closure.cut(closure._squared(jumps[k])))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def longest_walk(edges: DataFrame) -> int:
     """Steps after which a walk has ended or come round."""
     linear, rings = closure.without_cycles(edges)
+    linear = linear.unionByName(linear.where("p IS NOT NULL").select("cell", "p").join(linear.select(F.col("cell").alias("p")), "p", "left_anti").select(F.col("p").alias("cell"), F.lit(None).cast("long").alias("p")).distinct())
     depth = closure.roots(linear).agg(F.max("steps")).first()[0] or 0
     return depth + (rings.count() if rings is not None else 0) + 1

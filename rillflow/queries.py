@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.geodesy import cell_area, row_distances
-from .model import Grid, GridType
+from .model import STEPS, Grid, GridType
 from .operators import evaluate, hydrology, masks, neighbours, network, upscale
+from .operators.repair import COTAT_CROSSINGS, COUNTER, DMM_CROSSINGS
 from .plans import closure
 from .plans.tables import SPHERE, TILT, WIDTH, elevation, parts
 
@@ -411,6 +412,105 @@ _TRACE = f"""outl AS (SELECT row // {K} AS i, col // {K} AS j, cell, acc FROM fa
     SELECT fin.i::INTEGER AS row, fin.j::INTEGER AS col, coalesce(code, 0)::INTEGER AS dir FROM fin LEFT JOIN n8 ON dr = (cell // {WIDTH}) // {K} - i AND dc = (cell % {WIDTH}) // {K} - j"""
 
 
+#: Outlets with an upstream path in their block longer than 2, or that drain most of it, in place of the largest pixels.
+_LONG = _TRACE.replace("outl AS", "largest AS", 1).replace(
+    ",\n    fx AS",
+    f""",
+    px AS (SELECT c.cell, c.row, c.col, c.row // {K} AS i, c.col // {K} AS j, acc.acc, e.p, coalesce((c.row + dr) // {K} <> c.row // {K} OR (c.col + dc) // {K} <> c.col // {K} OR c.row + dr < 0 OR c.col + dc < 0, false) AS leaves
+        FROM cells c JOIN acc USING (cell) LEFT JOIN e USING (cell) LEFT JOIN n8 ON n8.code = c.dir),
+    fl(cell, spot) AS (SELECT cell, cell FROM px UNION ALL SELECT fl.cell, px.p FROM fl JOIN px ON px.cell = fl.spot WHERE NOT px.leaves AND px.p IS NOT NULL),
+    dn AS (SELECT px.i, px.j, px.cell, count(*) AS n FROM fl JOIN px ON px.cell = fl.spot WHERE px.leaves GROUP BY ALL),
+    most AS (SELECT i, j, cell FROM dn QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY n DESC, cell) = 1),
+    hv AS (SELECT a.p AS cell, a.cell AS up, n8.dist FROM px a JOIN px b ON b.cell = a.p JOIN n8 ON n8.dr = a.row - b.row AND n8.dc = a.col - b.col WHERE NOT a.leaves QUALIFY row_number() OVER (PARTITION BY a.p ORDER BY a.acc DESC, n8.idx) = 1),
+    pa(x, spot, far, step) AS (SELECT cell, cell, 0::DOUBLE, 0 FROM px WHERE leaves UNION ALL SELECT x, hv.up, far + hv.dist, step + 1 FROM pa JOIN hv ON hv.cell = pa.spot WHERE step < {K * K}),
+    way AS (SELECT x AS cell, max(far) AS far FROM pa GROUP BY x),
+    chosen AS (SELECT px.i, px.j, px.cell FROM px JOIN way USING (cell) LEFT JOIN most USING (cell) WHERE far > 2 OR most.cell IS NOT NULL QUALIFY row_number() OVER (PARTITION BY px.i, px.j ORDER BY px.acc DESC, px.cell) = 1),
+    outl AS (SELECT l.i, l.j, o.cell, o.acc FROM largest l JOIN px ON px.cell = l.cell LEFT JOIN chosen c ON c.i = l.i AND c.j = l.j JOIN px o ON o.cell = CASE WHEN px.leaves THEN coalesce(c.cell, l.cell) ELSE l.cell END),
+    fx AS""",
+    1,
+)
+_THRESHOLD = _TRACE.replace("fx.acc > t.a0", "fx.acc - t.a0 > 6")
+
+
+def _crossed(rules, width: int, q: str, d: str) -> tuple[str, str, str]:
+    """(condition, loser, code) of rule q mod 4 in window q div 4 of the list d of directions; the windows go row by row."""
+    at = f"(({q} // 4) // {width - 1} * {width} + ({q} // 4) % {width - 1})"
+
+    def pick(values) -> str:
+        return f"([{', '.join(map(str, values))}])[{q} % 4 + 1]"
+
+    def cell_of(place: int) -> str:
+        return f"({at} + {pick([r[place][0] * width + r[place][1] for r in rules])} + 1)"
+
+    hit = f"{d}[{cell_of(0)}] = {pick([r[1] for r in rules])} AND {d}[{cell_of(2)}] = {pick([r[3] for r in rules])}"
+    loser = f"CASE WHEN h[{cell_of(4)}] > h[{cell_of(5)}] THEN {cell_of(6)} ELSE {cell_of(7)} END"
+    return hit, loser, pick([r[8] for r in rules])
+
+
+def _put(d: str, at: str, code: str) -> str:
+    return f"{d}[:{at} - 1] || [({code})::INTEGER] || {d}[{at} + 1:]"
+
+
+def _cells_of(base: str, heights: str) -> str:
+    return f"base AS ({base}), grid AS (SELECT list(base.dir ORDER BY base.row, base.col) AS d, list(t.h ORDER BY base.row, base.col) AS h, max(base.row) + 1 AS nrows FROM base JOIN ({heights}) t USING (row, col))"
+
+
+def _repaired_cotat(trace: str) -> str:
+    """One ordered scan for crossings: each step of the recursion rewrites the next window in conflict."""
+    hit, loser, code = _crossed(COTAT_CROSSINGS, _CW, "q", "d")
+    return f"""{_cells_of(trace[trace.rindex("SELECT fin.i"):], "SELECT i AS row, j AS col, acc AS h FROM outl")},
+        scan(n, d) AS (SELECT 0::BIGINT, d FROM grid
+            UNION ALL SELECT q + 1, {_put('d', 'l', 'c')} FROM (SELECT d, q, {loser} AS l, {code} AS c FROM (SELECT *, list_filter(range(n, (nrows - 1) * {_CW - 1} * 4), lambda q: {hit})[1] AS q FROM (SELECT s.*, grid.h, nrows FROM scan s, grid)) WHERE q IS NOT NULL))
+        SELECT (k // {_CW})::INTEGER AS row, (k % {_CW})::INTEGER AS col, d[k + 1]::INTEGER AS dir FROM (SELECT d, unnest(range(len(d))) AS k FROM scan WHERE n = (SELECT max(n) FROM scan))"""
+
+
+def _repaired_dmm() -> str:
+    """Counter-flows, four passes over crossings and four over small rings, in order; a step rewrites the next conflict or begins the next pass."""
+    w = WIDTH // K
+    crossed, loser, code = _crossed(DMM_CROSSINGS, w, "q", "d")
+    at = f"((q // 4) // {w - 1} * {w} + (q // 4) % {w - 1})"
+    step = {c: dr * w + dc for c, dr, dc in STEPS}
+    other = f"({at} + ([{', '.join(str(r * w + c) for _, (r, c), _ in COUNTER)}])[q % 4 + 1])"
+    opposed = f"{other} >= 0 AND d[{at} + 1] = ([{', '.join(str(x) for x, _, _ in COUNTER)}])[q % 4 + 1] AND d[{other} + 1] = ([{', '.join(str(y) for _, _, y in COUNTER)}])[q % 4 + 1]"
+    weaker = f"CASE WHEN h[{at} + 1] > h[{other} + 1] THEN {at} + 1 ELSE {other} + 1 END"
+    inside = " ".join(f"WHEN {c} THEN CASE WHEN c // {w} + {dr} BETWEEN 0 AND nrows - 1 AND c % {w} + {dc} BETWEEN 0 AND {w - 1} THEN c + {step[c]} END" for c, dr, dc in STEPS)
+    path = ["q"]
+    for _ in range(9):
+        path.append(f"nx[{path[-1]} + 1]")
+    rings = []
+    for i in range(8):
+        for size in (2, 3, 4):
+            if i + size <= 9:
+                ring = path[i : i + size]
+                rows, cols = ([f"{p} {op} {w}" for p in ring] for op in ("//", "%"))
+                near = " AND ".join(f"greatest({', '.join(x)}) - least({', '.join(x)}) <= 1" for x in (rows, cols)) if size == 4 else "true"
+                rings.append((f"{path[i]} = {path[i + size]} AND {near}", f"[{', '.join(ring)}]"))
+    ringed = "d[q + 1] <> 0 AND (" + " OR ".join(f"({c})" for c, _ in rings) + ")"
+    ring = "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in rings) + " END"
+    found = f"list_filter(range(n, CASE WHEN phase < 5 THEN (nrows - 1) * {w - 1} * 4 ELSE len(d) END), lambda q: CASE WHEN phase = 0 THEN {opposed} WHEN phase < 5 THEN {crossed} ELSE {ringed} END)[1]"
+    lost = f"CASE WHEN phase = 0 THEN {weaker} WHEN phase < 5 THEN {loser} ELSE list_filter({ring}, lambda c: h[c + 1] = list_min(list_transform({ring}, lambda x: h[x + 1])))[1] + 1 END"
+    return f"""{_cells_of(_DMM[_DMM.rindex("SELECT aim.i"):], "SELECT i AS row, j AS col, acc AS h FROM a")},
+        scan(phase, n, d) AS (SELECT 0, 0::BIGINT, d FROM grid
+            UNION ALL SELECT CASE WHEN q IS NULL THEN phase + 1 ELSE phase END, CASE WHEN q IS NULL THEN 0 ELSE q + 1 END, CASE WHEN q IS NULL THEN d ELSE {_put('d', 'l', 'c')} END
+            FROM (SELECT phase, d, q, {lost} AS l, CASE WHEN phase BETWEEN 1 AND 4 THEN {code} ELSE 0 END AS c FROM (SELECT *, {found} AS q FROM (
+                SELECT s.*, grid.h, nrows, list_transform(range(len(s.d)), lambda c: CASE s.d[c + 1] {inside} END) AS nx FROM scan s, grid WHERE phase < 9))))
+        SELECT (k // {w})::INTEGER AS row, (k % {w})::INTEGER AS col, d[k + 1]::INTEGER AS dir FROM (SELECT d, unnest(range(len(d))) AS k FROM scan WHERE phase = 9)"""
+
+
+#: Place of an inflow, from north-west row by row, by its direction.
+_PLACES = {2: 0, 4: 1, 8: 2, 1: 3, 16: 4, 128: 5, 64: 6, 32: 7}
+
+
+def _steepest() -> str:
+    """The directions d of the grid by windows along rows and columns, without joins."""
+    order = [("v1", 1), ("v2", 2), ("v4", 4), ("v8", 8), ("v16", 16), ("v32", 32), ("v64", 64), ("v128", 128)]
+    slopes = ", ".join(f"(z - {v}) / {'1.0::DOUBLE' if c in (1, 4, 16, 64) else 'sqrt(2.0::DOUBLE)'}" for v, c in order)
+    return f"""{_grid()}, along AS (SELECT *, lag(z) OVER r AS v16, lead(z) OVER r AS v1 FROM g WINDOW r AS (PARTITION BY row ORDER BY col)),
+        across AS (SELECT *, lag(v16) OVER c AS v32, lag(z) OVER c AS v64, lag(v1) OVER c AS v128, lead(v16) OVER c AS v8, lead(z) OVER c AS v4, lead(v1) OVER c AS v2 FROM along WINDOW c AS (PARTITION BY col ORDER BY row)),
+        steep AS (SELECT row, col, list_transform([{slopes}], lambda x: coalesce(x, 0)) AS s FROM across),
+        d AS (SELECT row, col, CASE WHEN list_max(s) > 0 THEN (1 << (list_position(s, list_max(s)) - 1)) ELSE 0 END::INTEGER AS dir FROM steep)"""
+
+
 def oracle_sql() -> dict[str, str]:
     steep = {"tilt": 200_000.0}
     area = f"pow(6371000.0::DOUBLE, 2) * radians(0.01) * radians(0.01) / 1e6 * cos(radians({_y('row')}))"
@@ -423,9 +523,11 @@ def oracle_sql() -> dict[str, str]:
         "d8_spherical": _with(_fd(sphere=True), "SELECT row, col, dir FROM fd"),
         "receivers": _with(_fd(holes=True), "SELECT cells.cell, e.p FROM cells LEFT JOIN e USING (cell)"),
         "in_degree": _with(_fd(), "SELECT row, col, count(e.cell)::BIGINT AS n FROM cells LEFT JOIN e ON e.p = cells.cell GROUP BY row, col"),
-        "upstream_neighbours": _with(
-            _fd(), f"SELECT (p // {WIDTH})::INTEGER AS row, (p % {WIDTH})::INTEGER AS col, (cell // {WIDTH})::INTEGER AS up_row, (cell % {WIDTH})::INTEGER AS up_col, CASE dir WHEN 2 THEN 0 WHEN 4 THEN 1 WHEN 8 THEN 2 WHEN 1 THEN 3 WHEN 16 THEN 4 WHEN 128 THEN 5 WHEN 64 THEN 6 ELSE 7 END::INTEGER AS place FROM e"
-        ),
+        "upstream_neighbours": "WITH "
+        + _steepest()
+        + """, n8(code, dr, dc, place) AS (VALUES """
+        + ", ".join(f"({c}, {dr}, {dc}, {_PLACES[c]})" for c, dr, dc in STEPS)
+        + """) SELECT (d.row + dr)::INTEGER AS row, (d.col + dc)::INTEGER AS col, d.row AS up_row, d.col AS up_col, place::INTEGER AS place FROM d JOIN n8 ON code = dir""",
         "cell_area": _with(_grid(), f"SELECT row, col, round({area}, 6) AS area FROM g"),
         "row_distances": _with(f"{N8}, {_grid()}, a AS (SELECT DISTINCT row FROM g)", f"SELECT a.row, n.code::INTEGER AS code, round({_FAR}, 4) AS distance FROM a CROSS JOIN n8 n"),
         "flow_accumulation_count": _with(_counts(), "SELECT row, col, acc FROM fa"),
@@ -460,6 +562,10 @@ def oracle_sql() -> dict[str, str]:
         "nsa_8": _with(f"{_counts()}, {_block(8)}", "SELECT row, col, dir FROM nsa"),
         "dmm_assign": _with(f"{_counts()}, {_DMM}", ""),
         "cotat_trace": _with(f"{_counts()}, {_TRACE}", ""),
+        "dmm": _with(f"{_counts()}, {_DMM[: _DMM.rindex('SELECT aim.i')].rstrip()}, {_repaired_dmm()}", ""),
+        "cotat": _with(f"{_counts()}, {_TRACE[: _TRACE.rindex('SELECT fin.i')].rstrip()}, {_repaired_cotat(_TRACE)}", ""),
+        "cotat_threshold": _with(f"{_counts()}, {_THRESHOLD[: _THRESHOLD.rindex('SELECT fin.i')].rstrip()}, {_repaired_cotat(_THRESHOLD)}", ""),
+        "cotat_mufp": _with(f"{_counts()}, {_LONG[: _LONG.rindex('SELECT fin.i')].rstrip()}, {_repaired_cotat(_LONG)}", ""),
         "huac": _with(
             f"""{_counts()}, {_block(K)}, {_COARSE}, cup(cell, anc) AS (SELECT cell, cell FROM cc UNION ALL SELECT cup.cell, ce.p FROM cup JOIN ce ON cup.anc = ce.cell),
             ca AS (SELECT anc AS cell, count(*)::DOUBLE AS acc FROM cup GROUP BY anc), pour AS (SELECT cell FROM ca ORDER BY acc DESC, cell LIMIT 1),

@@ -49,7 +49,7 @@ def test_results_match_the_sql(spark):
     db = duckdb.connect()
     for name in os.listdir(sf):
         db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{sf}/{name}'")
-    for name in ("flagship", "d8_holes", "watershed", "strahler", "river_tree_seeds", "mask_seeds", "dmm_assign", "cotat_trace", "huac", "compare_flowdir_cascade", "windrose_emd"):
+    for name in ("flagship", "d8_holes", "watershed", "strahler", "river_tree_seeds", "mask_seeds", "dmm", "cotat", "cotat_threshold", "cotat_mufp", "upstream_neighbours", "huac", "compare_flowdir_cascade", "windrose_emd"):
         frame = entry.queries()[name](spark, sf)
         found = db.execute(entry.oracle_sql()[name])
         names = [d[0] for d in found.description]
