@@ -40,11 +40,10 @@ def heavy_hitters(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(digest, keep_id, group_size) of the digests verified to hold ``support`` of the rows."""
     rows = digests.count()
     best = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    if not rows:  # a sketch of nothing does not merge
-        return digests.groupBy("digest").agg(*best)
     tracked = 1 << math.ceil(math.log2(8 / support))  # the sketch errs by less than 3.5 / tracked, half of the support
     parts = digests.groupBy(F.expr(f"spark_partition_id() div {TOGETHER}").alias("tasks")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch"))
-    whole = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # Grouped by a constant: a global aggregate would make a summary of each empty partition too.
+    whole = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked // 2})")).alias("x")).select(F.col("x.item").alias("digest"), F.col("x.count").alias("about"))
     found = found.where((F.col("about") >= rows * support) & F.col("digest").isNotNull()).select("digest")
     counted = digests.join(F.broadcast(found), "digest", "left_semi").groupBy("digest").agg(*best)
