@@ -18,7 +18,7 @@ def flow_accumulation(fd: Grid, area: bool = True, tile: int = tiled.TILE) -> Gr
     return fd.with_df(tiled.accumulate(edges, fd.meta, "double" if area else "long", tile), GridType.FlowAcc)
 
 
-def delineate_watershed(fd: Grid, pour_row: int, pour_col: int) -> Grid:
+def delineate_watershed(fd: Grid, pour_row: int, pour_col: int, tile: int = tiled.TILE) -> Grid:
     """True in the cells that drain through the pour cell, which always counts; ValueError outside the grid."""
     m = fd.meta
     if not (0 <= pour_row < m.nrows and 0 <= pour_col < m.ncols):
@@ -30,7 +30,7 @@ def delineate_watershed(fd: Grid, pour_row: int, pour_col: int) -> Grid:
     into = pointers(fd).where(F.col("p") == target).select("cell", "p")
     edges = edges.join(into.select("cell", F.col("p").alias("_to")), "cell", "left").select("cell", F.coalesce("_to", "p").alias("p"))
     edges = edges.unionByName(own.join(edges, "cell", "left_anti").select("cell", F.lit(None).cast("long").alias("p")))
-    basin = closure.reaching(edges, target)
+    basin = tiled.reaching(edges, m, target, tile)
     df = fd.df.select("row", "col", cell(m).alias("cell")).join(basin.withColumn("m", F.lit(True)), "cell", "full")
     return fd.with_df(df.select(*uncell(m, "cell"), F.coalesce("m", F.lit(False)).alias("m")), GridType.Mask)
 
@@ -51,7 +51,7 @@ def strahler_order(fd: Grid) -> Grid:
         into = edges.where("p IS NOT NULL").join(cycles.withColumnRenamed("cell", "p"), "p", "left_semi").select("cell", F.lit(True).alias("_c"))
         edges = edges.join(into, "cell", "left").select("cell", F.when(F.col("_c").isNull(), F.col("p")).alias("p"))
     edges = closure.cut(edges)
-    head = closure.cut(chains(edges).select("cell", "head"))
+    head = closure.cut(chains(edges, acyclic=True).select("cell", "head"))
     inflow = edges.where("p IS NOT NULL").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     # The contracted graph: heads of chains, each with an edge to the junction below its chain.
     junction = inflow.where("n > 1").select("p")
@@ -117,7 +117,7 @@ def huac(flowacc_fine: Grid, flowdir_coarse: Grid, flowacc_coarse: Grid, pour_ro
         raise ValueError("the pour cell lies outside the grid")
     acc = flowacc_coarse.df.where("acc IS NOT NULL").select(cell(m).alias("cell"), F.col("acc").cast("double").alias("acc"))
     open_ = flowdir_coarse.with_df(flowdir_coarse.df.where("dir IS NOT NULL").withColumn("cell", cell(m)).join(acc, "cell", "left_semi").select("row", "col", "dir"))
-    basin = closure.reaching(receivers(open_).select("cell", "p"), pour_row * m.ncols + pour_col)
+    basin = tiled.reaching(receivers(open_).select("cell", "p"), m, pour_row * m.ncols + pour_col)
     told = basin.join(acc.where(F.col("acc") >= upstream_area_threshold), "cell").select(*uncell(m, "cell"), "acc")
     told = told.withColumnsRenamed({"row": "cell_row", "col": "cell_col", "acc": "coarse_upstream_area"})
     pixel = flowacc_fine.df.where(F.col("acc").isNotNull() & (F.col("row") >= off_r) & (F.col("col") >= off_c))

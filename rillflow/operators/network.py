@@ -16,16 +16,16 @@ from .neighbours import pointers, receivers
 SEED_FIELDS = ("mouth_row", "mouth_col", "headwater_row", "headwater_col", "ncells", "acc")
 
 
-def chains(edges: DataFrame) -> DataFrame:
+def chains(edges: DataFrame, acyclic: bool = False) -> DataFrame:
     """(cell, head, steps): the start of the chain of cells with one inflow that each cell is on.
 
     Cells with no inflow or several start a chain. Closed rings, which have no start,
-    are left out.
+    are left out; they are not looked for if the edges are known to be ``acyclic``.
     """
     inflow = edges.where("p IS NOT NULL").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("up"))
     single = inflow.where("n = 1").select(F.col("p").alias("cell"), "up")
     up = closure.cut(edges.select("cell").join(single, "cell", "left").select("cell", F.col("up").alias("p")))
-    up, rings = closure.without_cycles(up)
+    up, rings = (up, None) if acyclic else closure.without_cycles(up)
     if rings is not None:
         up = closure.cut(up.join(rings, "cell", "left_anti"))
     return closure.roots(up).select("cell", F.col("root").alias("head"), "steps")

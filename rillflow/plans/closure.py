@@ -9,8 +9,8 @@ lineage in the shared checkpoint folder.
 from __future__ import annotations
 
 import math
-import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +24,13 @@ def without_statistics(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     try:
         plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
-    except Exception:  # no such method in this Spark: only planning is slower then
+    except (AttributeError, TypeError, Py4JError):  # no such method in this Spark: only planning is slower then
         return df
     return DataFrame(plain, spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the checkpoint folder that the cluster names in ``spark.checkpoint.dir``, or one of our own where that is unset.
+    """``df`` from the checkpoint folder that the cluster names in ``spark.checkpoint.dir``, or one in the warehouse where that is unset.
 
     At most the session's number of shuffle partitions are written: unions that are read
     again and again would otherwise multiply theirs from round to round.
@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return without_statistics(df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint(eager=True))
 
 
@@ -117,9 +117,3 @@ def roots(edges: DataFrame, measures: tuple[str, ...] = ()) -> DataFrame:
         done = done.unionByName(finished)
     return done
 
-
-def reaching(edges: DataFrame, target: int) -> DataFrame:
-    """The cells ``cell`` from which the target is reached, the target itself included."""
-    cut_edges = edges.select("cell", F.when(F.col("cell") != target, F.col("p")).alias("p"))
-    cut_edges = without_cycles(cut_edges)[0]
-    return roots(cut_edges).where(F.col("root") == target).select("cell")

@@ -1,4 +1,4 @@
-"""Accumulation by tiles: one pass inside tiles, a closure of the tiles' exits, one pass back.
+"""Closures by tiles: one pass inside tiles, a closure of the tiles' exits, one pass back.
 
 Inside a tile each task walks its own cells. Between tiles only exits (cells whose
 receiver lies in another tile) are left, about a tile's side for a tile's area, and the
@@ -91,3 +91,35 @@ def accumulate(edges: DataFrame, meta: GridMeta, kind: str, tile: int = TILE) ->
         return pd.DataFrame({"row": frame["row"], "col": frame["col"], "acc": drained(local_receivers(frame), weight)})
 
     return own.groupBy("ti", "tj").cogroup(inflow.groupBy("ti", "tj")).applyInPandas(whole, f"row int, col int, acc {kind}")
+
+
+def reaching(edges: DataFrame, meta: GridMeta, target: int, tile: int = TILE) -> DataFrame:
+    """The cells ``cell`` of edges (cell, p) from which the target is reached, the target itself included."""
+    row, col = F.expr(f"int(cell div {meta.ncols})"), F.expr(f"int(cell % {meta.ncols})")
+    where = [F.floor(row / tile).cast("int").alias("ti"), F.floor(col / tile).cast("int").alias("tj")]
+    stop = F.when(F.col("cell") != target, F.col("p")).alias("p")
+    own = closure.cut(edges.select("cell", stop, row.alias("row"), col.alias("col"), *where))
+
+    def inside(frame: pd.DataFrame) -> pd.DataFrame:
+        to, cells = local_receivers(frame), frame["cell"].to_numpy()
+        last = ends(to)
+        leaves = (to < 0) & frame["p"].notna().to_numpy()
+        r, c = frame["row"].to_numpy() % tile, frame["col"].to_numpy() % tile
+        rim = (r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1)
+        leads = rim & (leaves[last] | (cells[last] == target))
+        exits = pd.DataFrame({"exit": True, "cell": cells[leaves], "to": frame["p"].to_numpy()[leaves].astype(np.int64)})
+        return pd.concat([exits, pd.DataFrame({"exit": False, "cell": cells[leads], "to": cells[last[leads]]})])
+
+    found = closure.cut(own.groupBy("ti", "tj").applyInPandas(inside, "exit boolean, cell long, to long"))
+    reach = found.where("NOT exit").select(F.col("cell").alias("to"), F.col("to").alias("p"))
+    end = edges.sparkSession.createDataFrame([(target, None)], "cell long, p long")
+    graph = closure.cut(found.where("exit").join(reach, "to", "left").select("cell", "p").unionByName(end))
+    good = closure.roots(closure.without_cycles(graph)[0]).where(F.col("root") == target).select("cell")
+    good = good.select("cell", *where)
+
+    def whole(frame: pd.DataFrame, good: pd.DataFrame) -> pd.DataFrame:
+        cells = frame["cell"].to_numpy()
+        ok = np.isin(cells[ends(local_receivers(frame))], good["cell"].to_numpy()) if len(frame) else []
+        return pd.DataFrame({"cell": cells[ok]})
+
+    return own.groupBy("ti", "tj").cogroup(good.groupBy("ti", "tj")).applyInPandas(whole, "cell long")

@@ -57,13 +57,13 @@ def test_accumulated_area(spark):
     assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for x, y in zip(got, want) for a, b in zip(x, y))
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_watershed(spark, seed):
-    fd = directions(seed, 8, 9)
-    for pour in ((4, 4), (0, 0)):
-        assert hydrology.delineate_watershed(grid(spark, fd, GridType.FlowDir), *pour).rows(False) == models.watershed(fd, pour)
+@pytest.mark.parametrize("seed,tile", [(4, 64), (5, 3), (9, 4)])
+def test_watershed(spark, river, seed, tile):
+    for fd in (directions(seed, 8, 9), river[0]):
+        for pour in ((4, 4), (0, 0), (7, 5)):
+            assert hydrology.delineate_watershed(grid(spark, fd, GridType.FlowDir), *pour, tile=tile).rows(False) == models.watershed(fd, pour)
     with pytest.raises(ValueError):
-        hydrology.delineate_watershed(grid(spark, fd, GridType.FlowDir), 8, 0)
+        hydrology.delineate_watershed(grid(spark, directions(seed, 8, 9), GridType.FlowDir), 8, 0)
 
 
 @pytest.mark.parametrize("rows", ["random", "river"])
