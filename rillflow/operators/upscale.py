@@ -96,11 +96,6 @@ class Tile:
             self.next[own] = np.where(self.dir[to] >= 0, to, -1)
         self.row, self.col = r, c
 
-    def pixels(self, b: int) -> np.ndarray:
-        """Pixel numbers of block b (of n + 2 by n + 2), row by row."""
-        i, j = divmod(b, self.n + 2)
-        return ((i * self.k + np.arange(self.k))[:, None] * self.side + j * self.k + np.arange(self.k)).ravel()
-
     def plain_outlets(self) -> np.ndarray:
         n, k = self.n + 2, self.k
         blocks = self.acc.reshape(n, k, n, k).transpose(0, 2, 1, 3).reshape(n * n, k * k)
@@ -112,49 +107,64 @@ class Tile:
         n, k = self.n + 2, self.k
         return (self.dir.reshape(n, k, n, k) >= 0).any(axis=(1, 3)).ravel()
 
-    def leaving(self, p: int) -> bool:
-        """Whether the direction of pixel p leads out of its block (data beyond or not)."""
-        step = next(((dr, dc) for code, dr, dc in STEPS if code == self.dir[p]), None)
-        if step is None:
-            return False
-        r, c = self.row[p] + step[0], self.col[p] + step[1]
-        return r // self.k != self.row[p] // self.k or c // self.k != self.col[p] // self.k
-
-    def long_outlet(self, b: int, least: float, metres) -> int:
-        """Outlet with an upstream path in its block longer than ``least``, or that drains most of the block."""
-        own = self.pixels(b)
-        valid = own[self.dir[own] >= 0]
-        top = int(valid[self.acc[valid].argmax()])
-        exits = [int(p) for p in valid if self.leaving(p)]
-        if top not in exits:
-            return top
-        inside, out = set(valid.tolist()), set(exits)
-        drained = dict.fromkeys(exits, 0)
-        for p in valid.tolist():
-            for _ in range(self.k * self.k):
-                if p in out:
-                    drained[p] += 1
-                    break
-                p = int(self.next[p])
-                if p not in inside:
-                    break
-        most = max(exits, key=lambda p: drained[p])  # the first of equals
-        inflows: dict[int, list[int]] = {}
-        for p in valid.tolist():
-            if int(self.next[p]) in inside and p not in out:
-                inflows.setdefault(int(self.next[p]), []).append(p)
-        for p in sorted(exits, key=lambda p: -self.acc[p]):
-            length, at = 0.0, p
-            for _ in range(self.k * self.k):
-                ways = inflows.get(at)
-                if not ways:
-                    break
-                up = min(ways, key=lambda q: (-self.acc[q], compass(self.row[q] - self.row[at], self.col[q] - self.col[at])))
-                length += metres(self.top + int(self.row[at]), int(self.row[up] - self.row[at]), int(self.col[up] - self.col[at]))
-                at = up
-            if length > least or p == most:
-                return p
-        return top
+    def leaving(self) -> np.ndarray:
+        """Whether each pixel's direction leads out of its block (data beyond or not)."""
+        out = np.zeros(len(self.dir), bool)
+        for code, dr, dc in STEPS:
+            own = self.dir == code
+            out[own] = ((self.row[own] + dr) // self.k != self.row[own] // self.k) | ((self.col[own] + dc) // self.k != self.col[own] // self.k)
+        return out
+
+    def long_outlets(self, least: float, metres) -> np.ndarray:
+        """Per block the outlet with an upstream path in the block longer than ``least``, or that drains most of it.
+
+        Of the block's exits the one with the largest accumulation that is either; the
+        largest pixel where that is no exit. All blocks go together, in arrays.
+        """
+        n, k, every = self.n + 2, self.k, np.arange(len(self.dir))
+        block_of = self.row // k * n + self.col // k
+        valid, leaves = self.dir >= 0, self.leaving()
+        inner = np.where(leaves, -1, self.next)  # receiver in the block
+        end = np.where(inner >= 0, inner, every)
+        for _ in range((k * k).bit_length()):
+            end = end[end]
+        drained = np.bincount(end[valid & leaves[end]], minlength=len(end))
+        exits = every[valid & leaves]
+
+        def first_of_each(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            new = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+            return group[new], rows[new]
+
+        # The heaviest inflow of each pixel, the first in compass order of equals.
+        place = np.full(129, 8)
+        for i, (_, dr, dc) in enumerate(STEPS):
+            place[next(c for c, r, s in STEPS if (r, s) == (-dr, -dc))] = i
+        into = every[inner >= 0]
+        into = into[np.lexsort((place[self.dir[into]], -self.acc[into], inner[into]))]
+        up = np.full(len(end), -1)
+        target, source = first_of_each(inner[into], into)
+        up[target] = source
+        # Lengths upstream of the exits, step by step.
+        far = np.zeros((self.side, 129))
+        for code, dr, dc in STEPS:
+            far[:, code] = [metres(self.top + r, -dr, -dc) for r in range(self.side)]
+        length, at, open_ = np.zeros(len(exits)), exits.copy(), np.arange(len(exits))
+        while len(open_ := open_[up[at[open_]] >= 0]):
+            q = up[at[open_]]
+            length[open_] += far[self.row[at[open_]], self.dir[q]]
+            at[open_] = q
+        order = exits[np.lexsort((exits, -drained[exits], block_of[exits]))]
+        most = np.zeros(len(end), bool)
+        most[first_of_each(block_of[order], order)[1]] = True
+        good = exits[(length > least) | most[exits]]
+        good = good[np.lexsort((good, -self.acc[good], block_of[good]))]
+        shown = every[valid][np.lexsort((every[valid], -self.acc[valid], block_of[valid]))]
+        out = self.plain_outlets()
+        blocks, tops = first_of_each(block_of[shown], shown)
+        out[blocks] = tops
+        blocks, chosen = first_of_each(block_of[good], good)
+        out[blocks] = np.where(leaves[out[blocks]], chosen, out[blocks])
+        return out
 
     def traced(self, outlets: np.ndarray, threshold: float) -> pd.DataFrame:
         """Directions of the blocks inside the rim, all traced together step by step."""
@@ -187,10 +197,6 @@ class Tile:
         return pd.DataFrame({"row": i - 1 + self.i0, "col": j - 1 + self.j0, "dir": code, "mx": self.acc[start]})
 
 
-def compass(dr: int, dc: int) -> int:
-    return next(i for i, (_, r, c) in enumerate(STEPS) if (r, c) == (dr, dc))
-
-
 def cotat_traced(flowdir: Grid, flowacc: Grid, k: int, area_threshold: float, mufp: float | None, tile: int = TILE) -> tuple[Grid, DataFrame]:
     """(directions before repair, heights (row, col, mx) at the outlets)."""
     check_type(flowdir, GridType.FlowDir)
@@ -211,11 +217,7 @@ def cotat_traced(flowdir: Grid, flowacc: Grid, k: int, area_threshold: float, mu
 
     def work(key, frame):
         t = Tile(frame, key[0] * n, key[1] * n, n, k)
-        outlets = t.plain_outlets()
-        if mufp is not None:
-            for b in np.flatnonzero(t.nonempty()):
-                outlets[b] = t.long_outlet(int(b), mufp, metres)
-        return t.traced(outlets, area_threshold)
+        return t.traced(t.plain_outlets() if mufp is None else t.long_outlets(mufp, metres), area_threshold)
 
     rimmed = both.withColumn("ti", tiles("row")).withColumn("tj", tiles("col"))
     done = closure.cut(rimmed.groupBy("ti", "tj").applyInPandas(work, "row int, col int, dir int, mx double"))
