@@ -56,6 +56,8 @@ class GridMeta:
     e: float = -1.0
     f: float = 0.0
     crs: str | None = None
+    #: Whether coordinates are degrees, where the name of the reference system does not tell.
+    degrees: bool | None = None
 
     @property
     def transform(self) -> tuple[float, ...]:
@@ -63,11 +65,13 @@ class GridMeta:
 
     @property
     def geographic(self) -> bool:
-        """Without a reference system coordinates count as degrees."""
+        """Without a reference system coordinates count as degrees; codes beyond the usual ones need ``degrees``."""
         if self.crs is None:
             return True
+        if self.degrees is not None:
+            return self.degrees
         name = self.crs.upper().replace(" ", "")
-        return name in ("EPSG:4326", "EPSG:4269", "EPSG:4258", "OGC:CRS84", "CRS84") or name.startswith("GEOGCS")
+        return name in ("EPSG:4326", "EPSG:4269", "EPSG:4258", "OGC:CRS84", "CRS84") or name.startswith(("GEOGCS", "GEOGCRS", "+PROJ=LONGLAT"))
 
     def x(self, col: Column) -> Column:
         return F.lit(self.c) + (col + F.lit(0.5)) * F.lit(self.a)

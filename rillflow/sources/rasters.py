@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import pickle
+import tempfile
 from dataclasses import asdict
 
 import numpy as np
@@ -46,15 +49,25 @@ def write(grid: Grid, path: str, *, overwrite: bool = False, compress: str = "de
         return write_tiff(grid, path, compress)
     if suffix == ".asc":
         return write_ascii(grid, path)
-    schema = "nrows int, ncols int, a double, b double, c double, d double, e double, f double, crs string"
+    schema = "nrows int, ncols int, a double, b double, c double, d double, e double, f double, crs string, degrees boolean"
     spark.createDataFrame([tuple(asdict(grid.meta).values())], schema).write.mode("overwrite").parquet(f"{path}/meta")
     grid.df.write.mode("overwrite").parquet(f"{path}/cells")
 
 
+def heads(frames):
+    """The tags of a file without its pixels, read where the file is."""
+    for frame in frames:
+        for content in frame["content"]:
+            own = tiff.Tiff(bytes(content))
+            own.data = b""
+            yield pd.DataFrame({"head": [pickle.dumps(own)]})
+
+
 def read_tiff(spark: SparkSession, path: str, grid_type: GridType) -> Grid:
     """Files are read through Spark, and decoded by one task each, strip by strip."""
     files = spark.read.format("binaryFile").load(path)
-    head = tiff.Tiff(bytes(files.select("content").first().content))
+    head = files.select("content").mapInPandas(heads, "head binary").first()
+    head = pickle.loads(bytes(head.head))
     name, whole = VALUE[grid_type], head.dtype.kind in "ui"
     wide = {("f", 4): "float", ("f", 8): "double", ("i", 2): "short", ("i", 4): "int", ("u", 1): "int", ("u", 2): "int"}.get((head.dtype.kind, head.dtype.itemsize), "long")
 
@@ -88,9 +101,25 @@ def dense_rows(grid: Grid, missing) -> object:
         yield nothing.copy()
 
 
+@contextlib.contextmanager
+def output(spark: SparkSession, path: str, mode: str):
+    """A file open for writing; one in another file system is written on the driver and then copied there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() == "file":
+        with open(place.toUri().getPath(), mode) as out:
+            yield out
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        local = os.path.join(folder, "out")
+        with open(local, mode) as out:
+            yield out
+        files.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path("file://" + local), place)
+
+
 def write_tiff(grid: Grid, path: str, compress: str = "deflate") -> None:
     dtype, nodata = FILES.get(grid.type) or BY_TYPE[grid.df.schema[grid.value].dataType]
-    with open(path, "wb") as out:
+    with output(grid.df.sparkSession, path, "wb") as out:
         tiff.encode((x.astype(dtype) for x in dense_rows(grid, np.array(nodata, dtype)[()])), grid.meta, dtype, nodata, out, compress)
 
 
@@ -99,7 +128,7 @@ def write_ascii(grid: Grid, path: str) -> None:
     m = grid.meta
     if abs(m.a + m.e) > 1e-12:
         raise ValueError("an ASCII grid needs square pixels")
-    with open(path, "w") as out:
+    with output(grid.df.sparkSession, path, "w") as out:
         out.write(f"ncols {m.ncols}\nnrows {m.nrows}\nxllcorner {m.c!r}\nyllcorner {m.f + m.nrows * m.e!r}\ncellsize {m.a!r}\nNODATA_value -9999\n")
         whole = not isinstance(grid.df.schema[grid.value].dataType, (T.DoubleType, T.FloatType))
         for row in dense_rows(grid, -9999 if whole else -9999.0):

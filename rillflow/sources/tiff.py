@@ -1,10 +1,15 @@
-"""A small GeoTIFF codec: single band, strips or tiles, uncompressed or deflate, predictors 1 to 3."""
+"""A small GeoTIFF codec: single band, strips or tiles, predictors 1 to 3.
+
+Reads classic and BigTIFF files, uncompressed or with deflate, LZW or Zstandard; writes
+classic files, uncompressed or deflate.
+"""
 
 from __future__ import annotations
 
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import numpy as np
 
@@ -19,27 +24,71 @@ SCALE, TIEPOINT, MATRIX, GEOKEYS, NODATA = 33550, 33922, 34264, 34735, 42113
 KINDS = {1: "u", 2: "i", 3: "f"}
 
 
+def unpacked_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, high bit first, one code early in growing; 256 clears, 257 ends."""
+    out, table, last = [], [], b""
+    bits = held = 0
+    width = 9
+    for byte in data:
+        bits, held = bits << 8 | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code = bits >> held
+        bits &= (1 << held) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        item = table[code] if code < len(table) else last + last[:1]
+        out.append(item)
+        if last:
+            table.append(last + item[:1])
+        last = item
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
+def unpacked_zstd(data: bytes) -> bytes:
+    import zstandard  # only where a file needs it
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+#: How strips and tiles are unpacked, by the compression tag.
+DECODERS = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 50000: unpacked_zstd}
+
+
 class Tiff:
     """The first image of a file given as bytes."""
 
     def __init__(self, data: bytes):
         self.data = data
         self.order = {b"II": "<", b"MM": ">"}.get(data[:2])
-        if self.order is None or struct.unpack(self.order + "H", data[2:4])[0] != 42:
-            raise ValueError("not a classic TIFF file")
-        at = struct.unpack(self.order + "I", data[4:8])[0]
+        version = struct.unpack(self.order + "H", data[2:4])[0] if self.order else 0
+        if version not in (42, 43):
+            raise ValueError("not a TIFF file")
+        # Offsets and counts have 4 bytes in a classic file and 8 in a BigTIFF file.
+        word, wide, start = ("I", 4, 4) if version == 42 else ("Q", 8, 8)
+        at = struct.unpack(self.order + word, data[start : start + wide])[0]
+        number = "H" if version == 42 else "Q"
+        n_tags = struct.unpack_from(self.order + number, data, at)[0]
+        at += struct.calcsize(number)
         self.tags = {}
-        for i in range(struct.unpack(self.order + "H", data[at : at + 2])[0]):
-            tag, kind, n = struct.unpack(self.order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-            size = SIZES.get(kind, 1) * n
-            place = at + 10 + 12 * i if size <= 4 else struct.unpack(self.order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
+        for i in range(n_tags):
+            entry = at + (4 + 2 * wide) * i
+            tag, kind, n = struct.unpack_from(f"{self.order}HH{word}", data, entry)
+            size, place = SIZES.get(kind, 1) * n, entry + 4 + wide
+            if size > wide:
+                place = struct.unpack_from(self.order + word, data, place)[0]
             raw = data[place : place + size]
             self.tags[tag] = raw if kind in (2, 7) else struct.unpack(f"{self.order}{n}{CODES[kind]}", raw) if kind in CODES else raw
         if self.tag(SAMPLES) != 1:
             raise ValueError("only single-band rasters can be read")
         self.width, self.height = self.tag(WIDTH), self.tag(HEIGHT)
         self.dtype = np.dtype(f"{self.order}{KINDS[self.tag(FORMAT, 1)]}{self.tag(BITS, 8) // 8}")
-        if self.tag(COMPRESSION) not in (1, 8, 32946):
+        if self.tag(COMPRESSION) not in DECODERS:
             raise ValueError(f"unknown compression {self.tag(COMPRESSION)}")
 
     def tag(self, tag: int, default=1):
@@ -64,7 +113,9 @@ class Tiff:
         keys = self.tags.get(GEOKEYS, ())
         codes = {k: v for k, place, _, v in zip(keys[4::4], keys[5::4], keys[6::4], keys[7::4]) if place == 0}
         code = codes.get(3072) or codes.get(2048)
-        return GridMeta(self.height, self.width, a=a, c=c, e=e, f=f, crs=f"EPSG:{code}" if code else None)
+        meta = GridMeta(self.height, self.width, a=a, c=c, e=e, f=f, crs=f"EPSG:{code}" if code else None)
+        degrees = {1: False, 2: True}.get(codes.get(1024)) if code else None  # the file's own model type
+        return meta if degrees in (None, meta.geographic) else replace(meta, degrees=degrees)
 
     def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first row, first column, values) of each strip or tile."""
@@ -73,7 +124,7 @@ class Tiff:
         across = -(-self.width // w)
         for k, (at, n) in enumerate(zip(self.tags[TILES if tiled else STRIPS], self.tags[TILE_BYTES if tiled else STRIP_BYTES])):
             raw = self.data[at : at + n]
-            raw = raw if self.tag(COMPRESSION) == 1 else zlib.decompress(raw)
+            raw = DECODERS[self.tag(COMPRESSION)](raw)
             r, c = k // across * h, k % across * w
             rows = h if tiled else min(h, self.height - r)
             x = self.unpredicted(raw, rows, w)

@@ -104,3 +104,74 @@ def test_streamed_windrose(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.dir, r.total) for r in spark.table("rose").collect()} == {(1, 2), (4, 1)}
+
+
+def packed_lzw(data):
+    """TIFF LZW of some bytes, for the test only."""
+    out, bits, held, table, width = bytearray(), 0, 0, {bytes((i,)): i for i in range(256)}, 9
+
+    def put(code):
+        nonlocal bits, held
+        bits, held = bits << width | code, held + width
+        while held >= 8:
+            held -= 8
+            out.append(bits >> held & 255)
+            bits &= (1 << held) - 1
+
+    put(256)
+    word = b""
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if word + c in table:
+            word += c
+            continue
+        put(table[word])
+        table[word + c] = len(table) + 2
+        n = len(table) + 2
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n >= 4094:
+            put(256)
+            table, width = {bytes((i,)): i for i in range(256)}, 9
+        word = c
+    if word:
+        put(table[word])
+    put(257)
+    out.append(bits << (8 - held) & 255)
+    return bytes(out)
+
+
+def big_tiff(x, compression, pack, keys):
+    """A BigTIFF file of one strip."""
+    import struct
+
+    raw = pack(x.astype("<i2").tobytes())
+    fields = [(256, 4, (x.shape[1],)), (257, 4, (x.shape[0],)), (258, 3, (16,)), (259, 3, (compression,)), (273, 16, (16,)), (277, 3, (1,)), (278, 4, (x.shape[0],)), (279, 16, (len(raw),)), (339, 3, (2,)), (34735, 3, keys)]
+    raw += b"\0" * (len(raw) % 2)
+    at, extra, table = 16 + len(raw), b"", struct.pack("<Q", len(fields))
+    for tag, kind, values in fields:
+        body = struct.pack(f"<{len(values)}{ {3: 'H', 4: 'I', 16: 'Q'}[kind] }", *values)
+        table += struct.pack("<HHQ", tag, kind, len(values))
+        if len(body) > 8:
+            table += struct.pack("<Q", at + 8 + 20 * len(fields) + 8 + len(extra))
+            extra += body
+        else:
+            table += body.ljust(8, b"\0")
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) + raw + table + b"\0" * 8 + extra
+
+
+def test_big_tiff_with_other_compressions(spark, tmp_path):
+    import zstandard
+
+    x = (np.arange(90 * 70).reshape(90, 70) * 7919 % 301).astype("int16")
+    x[:40] = 5
+    keys = (1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4283)
+    for compression, pack in ((1, bytes), (5, packed_lzw), (50000, lambda b: zstandard.ZstdCompressor().compress(b))):
+        path = str(tmp_path / f"x{compression}.tif")
+        with open(path, "wb") as out:
+            out.write(big_tiff(x, compression, pack, keys))
+        grid = read(spark, path, GridType.DEM)
+        assert grid.meta.crs == "EPSG:4283" and grid.meta.geographic and grid.shape == x.shape
+        got = np.zeros_like(x)
+        for r in grid.df.collect():
+            got[r.row, r.col] = r.z
+        assert (got == x).all()
