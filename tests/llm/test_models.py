@@ -139,7 +139,9 @@ def test_language_model_scores(odd_docs, odd_texts, tables):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in rows)
 
 
-def test_every_frequent_word_has_its_own_emission(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [hmm.BROADCAST_WORDS, 10])
+def test_every_frequent_word_has_its_own_emission(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(hmm, "BROADCAST_WORDS", broadcast)
     least = 10
     ids = [i for i in range(100) if bucket(i, 10)][:least]
     docs = [(i, " ".join(f"w{k}x" for k in range(3000)) + " rare") for i in ids[:-1]] + [(ids[-1], " ".join(f"w{k}x" for k in range(3000)))]
