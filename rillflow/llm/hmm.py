@@ -292,9 +292,11 @@ def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     words, looked = written(counted(vocabulary, least))
     own = words.where("first AND word IS NOT NULL").select("word").toArrow().sort_by("word")
     named = spark.createDataFrame(own.append_column("own", pa.array(np.arange(len(own)) + FIRST_OWN, pa.int32())), "word binary, own int")
-    frequent, rare = words.where("word IS NOT NULL"), words.where("word IS NULL")
-    frequent = frequent.join(F.broadcast(named) if len(own) <= BROADCAST_WORDS else named, "word")
-    words = frequent.unionByName(rare.withColumn("own", F.lit(None).cast("int"))).withColumn("cls", F.when(F.col("c") == 0, UNSEEN).otherwise(F.coalesce("own", F.col("suffix").cast("int"))))
+    if len(own) <= BROADCAST_WORDS:
+        words = words.join(F.broadcast(named), "word", "left")
+    else:  # rare words have no ``word`` and stay out of the shuffle
+        words = words.where("word IS NOT NULL").join(named, "word").unionByName(words.where("word IS NULL").withColumn("own", F.lit(None).cast("int")))
+    words = words.withColumn("cls", F.when(F.col("c") == 0, UNSEEN).otherwise(F.coalesce("own", F.col("suffix").cast("int"))))
     sums = words.where("first AND c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
     cls, c, n = (sums.column(x).to_pylist() for x in ("cls", "c", "n"))
     unigram = Unigram(tokens, sum(n), dict(zip(cls, zip(c, n))), FIRST_OWN + len(own))
